@@ -12,17 +12,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
-from .regexkit import NOT_UWS, UWS, py_lstrip, py_lstrip_sql, py_strip, py_strip_sql, sql_str
+from .regexkit import (WS, WSC, java_re, let, py_lstrip, py_lstrip_sql, py_strip, py_strip_sql, re2_re,
+                       sql_str)
+
+UWS = WS
 
 # FIXED VALUES: block and tag patterns.
 DOC_BLOCK_STRICT = "(?is)<DOCUMENT>" + UWS + "*(.*?)</DOCUMENT>"
 DOC_BLOCK_LENIENT = "(?is)<DOCUMENT>(.*?)</DOCUMENT>"
 HEADER_RE = "(?is)(.*?)(<SEC-HEADER>(.*?)</SEC-HEADER>)"
 SUBMISSION_TYPE_RE = "(?i)CONFORMED SUBMISSION TYPE:" + UWS + "*([A-Z0-9-]+)"
-TYPE_STRICT_RE = "(?i)<TYPE>" + UWS + "*([^" + UWS[1:-1] + "<]+)"
+TYPE_STRICT_RE = "(?i)<TYPE>" + UWS + "*([^" + WSC + "<]+)"
 TEXT_GREEDY_RE = "(?is)<TEXT>(.*)</TEXT>"
 TEXT_LAZY_RE = "(?is)<TEXT>(.*?)</TEXT>"
-HTML_HINT_RE = ("(?i)<" + UWS + "*(?:" + "|".join(L.HTML_HINT_TAGS) + ")(?:[" + UWS[1:-1]
+HTML_HINT_RE = ("(?i)<" + UWS + "*(?:" + "|".join(L.HTML_HINT_TAGS) + ")(?:[" + WSC
                 + "/>]|\\z)")
 GUNK_RE = "(?i)\n(?:" + "|".join(L.GUNK_MARKERS) + ")\n"
 HEADER_END_RE = "(?i)</SEC-HEADER>"
@@ -34,66 +37,66 @@ def lenient_tag_re(tag: str) -> str:
 
 # E3 ------------------------------------------------------------------------
 def document_blocks(raw: Column, lenient: bool = False) -> Column:
-    return F.regexp_extract_all(raw, F.lit(DOC_BLOCK_LENIENT if lenient else DOC_BLOCK_STRICT), 1)
+    return F.regexp_extract_all(raw, F.lit(java_re(DOC_BLOCK_LENIENT if lenient else DOC_BLOCK_STRICT)), 1)
 
 
 def document_blocks_sql(expr: str, lenient: bool = False) -> str:
     pat = DOC_BLOCK_LENIENT if lenient else DOC_BLOCK_STRICT
-    return f"regexp_extract_all({expr}, {sql_str(pat)}, 1)"
+    return f"regexp_extract_all({expr}, {sql_str(re2_re(pat))}, 1)"
 
 
 # E1 ------------------------------------------------------------------------
 def _header_ok(raw: Column) -> Column:
-    prefix = F.regexp_extract(raw, HEADER_RE, 1)
-    inner = F.regexp_extract(raw, HEADER_RE, 3)
-    return raw.rlike(HEADER_RE) & ~prefix.rlike(HEADER_END_RE) & (F.length(inner) > 0)
+    prefix = F.regexp_extract(raw, java_re(HEADER_RE), 1)
+    inner = F.regexp_extract(raw, java_re(HEADER_RE), 3)
+    return raw.rlike(java_re(HEADER_RE)) & ~prefix.rlike(java_re(HEADER_END_RE)) & (F.length(inner) > 0)
 
 
 def _header_ok_sql(expr: str) -> str:
-    p = sql_str(HEADER_RE)
+    p = sql_str(re2_re(HEADER_RE))
     return (f"(regexp_matches({expr}, {p}) AND NOT regexp_matches(regexp_extract({expr}, {p}, 1), "
-            f"{sql_str(HEADER_END_RE)}) AND length(regexp_extract({expr}, {p}, 3)) > 0)")
+            f"{sql_str(re2_re(HEADER_END_RE))}) AND length(regexp_extract({expr}, {p}, 3)) > 0)")
 
 
 def sec_header(raw: Column) -> Column:
     """First header block, trimmed; NULL when absent or malformed."""
-    return F.when(_header_ok(raw), py_strip(F.regexp_extract(raw, HEADER_RE, 2)))
+    return F.when(_header_ok(raw), py_strip(F.regexp_extract(raw, java_re(HEADER_RE), 2)))
 
 
 def sec_header_sql(expr: str) -> str:
     return (f"CASE WHEN {_header_ok_sql(expr)} THEN "
-            f"{py_strip_sql(f'regexp_extract({expr}, {sql_str(HEADER_RE)}, 2)')} END")
+            f"{py_strip_sql(f'regexp_extract({expr}, {sql_str(re2_re(HEADER_RE))}, 2)')} END")
 
 
 # E2 ------------------------------------------------------------------------
 def primary_form(raw: Column) -> Column:
-    inner = F.regexp_extract(raw, HEADER_RE, 3)
-    return F.when(_header_ok(raw), F.upper(F.regexp_extract(inner, SUBMISSION_TYPE_RE, 1))
+    inner = F.regexp_extract(raw, java_re(HEADER_RE), 3)
+    return F.when(_header_ok(raw), F.upper(F.regexp_extract(inner, java_re(SUBMISSION_TYPE_RE), 1))
                   ).otherwise(F.lit(""))
 
 
 def primary_form_sql(expr: str) -> str:
-    inner = f"regexp_extract({expr}, {sql_str(HEADER_RE)}, 3)"
+    inner = f"regexp_extract({expr}, {sql_str(re2_re(HEADER_RE))}, 3)"
     return (f"CASE WHEN {_header_ok_sql(expr)} THEN upper(regexp_extract({inner}, "
-            f"{sql_str(SUBMISSION_TYPE_RE)}, 1)) ELSE '' END")
+            f"{sql_str(re2_re(SUBMISSION_TYPE_RE))}, 1)) ELSE '' END")
 
 
 # E4 / E5 -------------------------------------------------------------------
 def doc_type_strict(block: Column) -> Column:
-    return F.upper(py_strip(F.regexp_extract(block, TYPE_STRICT_RE, 1)))
+    return F.upper(py_strip(F.regexp_extract(block, java_re(TYPE_STRICT_RE), 1)))
 
 
 def doc_type_strict_sql(expr: str) -> str:
-    return f"upper({py_strip_sql(f'regexp_extract({expr}, {sql_str(TYPE_STRICT_RE)}, 1)')})"
+    return f"upper({py_strip_sql(f'regexp_extract({expr}, {sql_str(re2_re(TYPE_STRICT_RE))}, 1)')})"
 
 
 def tag_value(block: Column, tag: str, default: str) -> Column:
-    v = py_strip(F.regexp_extract(block, lenient_tag_re(tag), 1))
-    return F.when(v == "", F.lit(default)).otherwise(v)
+    v = py_strip(F.regexp_extract(block, java_re(lenient_tag_re(tag)), 1))
+    return let(v, lambda x: F.when(x == "", F.lit(default)).otherwise(x))
 
 
 def tag_value_sql(expr: str, tag: str, default: str) -> str:
-    v = py_strip_sql(f"regexp_extract({expr}, {sql_str(lenient_tag_re(tag))}, 1)")
+    v = py_strip_sql(f"regexp_extract({expr}, {sql_str(re2_re(lenient_tag_re(tag)))}, 1)")
     return f"CASE WHEN {v} = '' THEN {sql_str(default)} ELSE {v} END"
 
 
@@ -140,32 +143,32 @@ def keep_block_sql(t: str, form: str) -> str:
 # E9 / E10 ------------------------------------------------------------------
 def text_body_greedy(block: Column) -> Column:
     """First <TEXT> to last </TEXT>, else the whole block; trimmed."""
-    return py_strip(F.when(block.rlike(TEXT_GREEDY_RE), F.regexp_extract(block, TEXT_GREEDY_RE, 1))
+    return py_strip(F.when(block.rlike(java_re(TEXT_GREEDY_RE)), F.regexp_extract(block, java_re(TEXT_GREEDY_RE), 1))
                     .otherwise(block))
 
 
 def text_body_greedy_sql(expr: str) -> str:
-    p = sql_str(TEXT_GREEDY_RE)
+    p = sql_str(re2_re(TEXT_GREEDY_RE))
     return py_strip_sql(f"CASE WHEN regexp_matches({expr}, {p}) THEN regexp_extract({expr}, {p}, 1) "
                         f"ELSE {expr} END")
 
 
 def has_text_tag(block: Column) -> Column:
-    return block.rlike(TEXT_LAZY_RE)
+    return block.rlike(java_re(TEXT_LAZY_RE))
 
 
 def has_text_tag_sql(expr: str) -> str:
-    return f"regexp_matches({expr}, {sql_str(TEXT_LAZY_RE)})"
+    return f"regexp_matches({expr}, {sql_str(re2_re(TEXT_LAZY_RE))})"
 
 
 def text_body_lazy(block: Column) -> Column:
     """First <TEXT> to first </TEXT>, untrimmed; NULL when there is none."""
-    return F.when(has_text_tag(block), F.regexp_extract(block, TEXT_LAZY_RE, 1))
+    return F.when(has_text_tag(block), F.regexp_extract(block, java_re(TEXT_LAZY_RE), 1))
 
 
 def text_body_lazy_sql(expr: str) -> str:
     return (f"CASE WHEN {has_text_tag_sql(expr)} THEN regexp_extract({expr}, "
-            f"{sql_str(TEXT_LAZY_RE)}, 1) END")
+            f"{sql_str(re2_re(TEXT_LAZY_RE))}, 1) END")
 
 
 # E12 -----------------------------------------------------------------------
@@ -174,24 +177,26 @@ _GUNK_PREFIX_RE = "(?s)^(.*?)" + GUNK_RE
 
 def drop_leading_gunk(text: Column) -> Column:
     """Cut everything before the earliest header marker when it is not at 0."""
-    pos = F.length(F.regexp_extract(text, _GUNK_PREFIX_RE, 1))
-    cut = text.rlike(GUNK_RE) & (pos > 0)
-    return F.when(cut, py_lstrip(F.substring(text, pos + 1, 2147483647))).otherwise(text)
+    def cut(t: Column) -> Column:
+        pos = F.length(F.regexp_extract(t, java_re(_GUNK_PREFIX_RE), 1))
+        hit = t.rlike(java_re(GUNK_RE)) & (pos > 0)
+        return F.when(hit, py_lstrip(F.substring(t, pos + 1, 2147483647))).otherwise(t)
+    return let(text, cut)
 
 
 def drop_leading_gunk_sql(expr: str) -> str:
-    pos = f"length(regexp_extract({expr}, {sql_str(_GUNK_PREFIX_RE)}, 1))"
-    return (f"CASE WHEN regexp_matches({expr}, {sql_str(GUNK_RE)}) AND {pos} > 0 "
+    pos = f"length(regexp_extract({expr}, {sql_str(re2_re(_GUNK_PREFIX_RE))}, 1))"
+    return (f"CASE WHEN regexp_matches({expr}, {sql_str(re2_re(GUNK_RE))}) AND {pos} > 0 "
             f"THEN {py_lstrip_sql(f'substring({expr}, {pos} + 1)')} ELSE {expr} END")
 
 
 # E13 -----------------------------------------------------------------------
 def looks_like_html(text: Column) -> Column:
-    return text.rlike(HTML_HINT_RE) | text.contains("</")
+    return text.rlike(java_re(HTML_HINT_RE)) | text.contains("</")
 
 
 def looks_like_html_sql(expr: str) -> str:
-    return f"(regexp_matches({expr}, {sql_str(HTML_HINT_RE)}) OR contains({expr}, '</'))"
+    return f"(regexp_matches({expr}, {sql_str(re2_re(HTML_HINT_RE))}) OR contains({expr}, '</'))"
 
 
 # S6 ------------------------------------------------------------------------

@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regexkit import (HWS, LINE_BREAKS, UWS, Lit, Re, apply_chain, chain_sql, py_strip,
-                       py_strip_sql, sql_str)
+from .regexkit import (HWS, WS, Guard, Lit, Re, apply_chain, chain_sql, py_strip, py_strip_sql,
+                       sql_str)
+
+UWS = WS
+# Line boundaries that Python's ``str.splitlines`` recognises besides "\n".
+LINE_BREAKS = r"[\x{0B}\f\r\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 
 # FIXED VALUES: named and numeric entities decoded by the column chain.
 # "&amp;" is decoded last so that "&amp;lt;" yields "&lt;" (single pass).
@@ -24,7 +28,7 @@ ENTITIES = (
     ("&#8217;", "’"), ("&#8220;", "“"), ("&#8221;", "”"), ("&#8212;", "—"),
     ("&amp;", "&"),
 )
-ENTITY_STEPS = tuple(Lit(a, b) for a, b in ENTITIES)
+ENTITY_STEPS = (Guard("&", tuple(Lit(a, b) for a, b in ENTITIES)),)
 
 _TAG_TAIL = "(?:[^A-Za-z0-9_>][^>]*)?>"
 
@@ -40,7 +44,7 @@ N3_STEPS = (Re("\n" + UWS + "*\n" + UWS + "*\n+", "\n\n"),)
 N4_STEPS = (Lit("\r\n", "\n"), Re(LINE_BREAKS, "\n"), Re(HWS + "+\n", "\n"))
 
 # H1: structure-keeping cleaner. Entities first, so escaped markup becomes markup.
-H1_TAG_STEPS = (
+H1_TAG_STEPS = (Guard("<", (
     _drop_element("script"), _drop_element("style"), _drop_element("noscript"),
     _drop_element("svg"),
     Re("(?s)<!--.*?-->", " "),
@@ -49,21 +53,21 @@ H1_TAG_STEPS = (
     Re("(?i)<br" + _TAG_TAIL, " \n "),
     Re("(?i)</(?:p|div|tr|li|h[1-6]|table)" + UWS + "*>", " \n "),
     Re("</?[A-Za-z][^>]*>", " "),
-)
+)),)
 H1_STEPS = ENTITY_STEPS + H1_TAG_STEPS + N1_STEPS + N2_STEPS + N3_STEPS + N4_STEPS
 
 # H2: flat cleaner. Tags first, entities after, every whitespace run -> one space.
-H2_STEPS = (
+H2_STEPS = (Guard("<", (
     Re("(?is)<script.*?>.*?</script>", " "),
     Re("(?is)<style.*?>.*?</style>", " "),
     Re("<[^>]+>", " "),
-) + ENTITY_STEPS + (Lit("\u0000", " "), Re(UWS + "+", " "))
+)),) + ENTITY_STEPS + (Lit("\u0000", " "), Re(UWS + "+", " "))
 
 # Boilerplate strip; N6: numbers and amounts.
 N5_STEPS = (
     Re(r"(?i)\btable of contents\b", " "),
-    Re(r"\bS-[0-9]+\b", " "),
-    Re(r"\bPage" + UWS + r"+[0-9]+\b", " "),
+    Guard("S-", (Re(r"\bS-[0-9]+\b", " "),)),
+    Guard("Page", (Re(r"\bPage" + UWS + r"+[0-9]+\b", " "),)),
     Re(UWS + "+", " "),
 )
 N6_STEPS = (Re(r"\$?[0-9][0-9,.%]*", " "),)
@@ -119,13 +123,13 @@ def strip_numbers_sql(expr: str) -> str:
 # Table-like predicate.
 def looks_like_table(col: Column, min_chars: int = 200, ratio: float = 0.18) -> Column:
     n = F.length(col)
-    digits = F.length(F.regexp_replace(col, "[^0-9]", ""))
+    digits = F.length(F.regexp_replace(col, "[^0-9]+", ""))
     return (n < min_chars) | ((digits / F.greatest(n, F.lit(1))) > ratio)
 
 
 def looks_like_table_sql(expr: str, min_chars: int = 200, ratio: float = 0.18) -> str:
     n = f"length({expr})"
-    digits = f"length(regexp_replace({expr}, '[^0-9]', '', 'g'))"
+    digits = f"length(regexp_replace({expr}, '[^0-9]+', '', 'g'))"
     return f"(({n}) < {min_chars} OR ({digits})::DOUBLE / greatest({n}, 1) > {ratio})"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as L
 from .html import N5_STEPS, N6_STEPS, html_flat, html_flat_sql
-from .regexkit import UWS, apply_chain, chain_sql, py_strip, py_strip_sql, sql_str
+from .regexkit import WS, apply_chain, chain_sql, java_re, py_strip, py_strip_sql, re2_re, sql_str
 
 FIN_STOPWORDS = tuple(dict.fromkeys(L.BASE_STOPWORDS + L.FIN_EXTRA_STOPWORDS))
 SPEECH_STOPWORDS = tuple(w for w in L.ENGLISH_STOPWORDS if w not in L.KEEP_NEGATIONS)
@@ -92,7 +92,7 @@ def lemma_sql(t: str) -> str:
 def preprocess_speech(text: Column) -> Column:
     """K10 = K1 lower/normalise, K2 contractions, K3 punctuation delete,
     K4 letters only, K5 stop words (keeping not/no), K6 lemma, K7 length >= 3."""
-    words = F.split(py_strip(F.lower(text)), UWS + "+")                     # K1
+    words = F.split(py_strip(F.lower(text)), java_re(WS + "+"))                     # K1
     expanded = F.array_join(F.transform(words, _contraction_case), " ")    # K2
     no_punct = F.translate(expanded, L.ASCII_PUNCTUATION, "")              # K3
     letters = F.regexp_extract_all(no_punct, F.lit("[a-zA-Z]+"), 0)        # K4
@@ -102,7 +102,7 @@ def preprocess_speech(text: Column) -> Column:
 
 
 def preprocess_speech_sql(expr: str) -> str:
-    words = f"string_split_regex({py_strip_sql(f'lower({expr})')}, {sql_str(UWS + '+')})"
+    words = f"string_split_regex({py_strip_sql(f'lower({expr})')}, {sql_str(re2_re(WS + '+'))})"
     expanded = f"array_to_string(list_transform({words}, lambda w: {_contraction_case_sql('w')}), ' ')"
     no_punct = f"translate({expanded}, {sql_str(L.ASCII_PUNCTUATION)}, '')"
     letters = f"regexp_extract_all({no_punct}, '[a-zA-Z]+', 0)"

@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from ..functions import edgar as E
 from ..functions import lexicons as L
 from ..functions.html import html_to_text
-from ..functions.regexkit import py_strip
+from ..functions.regexkit import let, py_strip
 
 
 def clean_body(body: Column) -> Column:
     """E9 output -> E12 gunk cut -> H1 when E13 says HTML -> strip."""
-    cut = E.drop_leading_gunk(body)
-    return py_strip(F.when(E.looks_like_html(cut), html_to_text(cut)).otherwise(cut))
+    return let(E.drop_leading_gunk(body), lambda cut: py_strip(
+        F.when(E.looks_like_html(cut), html_to_text(cut)).otherwise(cut)))
 
 
 def _banner(t: Column) -> Column:
