@@ -292,3 +292,82 @@ def gunk_text_sql() -> str:
       ELSE '' END || text AS text
   FROM documents
 )"""
+
+
+# ---------------------------------------------------------------------------
+# topic_dump(file, text): topic keyword dumps in the two legacy text formats,
+# built from the top words of the fixed topic groups of each language.
+# ---------------------------------------------------------------------------
+DUMP_B_HEADER = "==================== TOPIC KEYWORDS ===================="
+DUMP_B_BULLET = "\U0001F539 Topic "
+
+
+def topic_group_words(spark: SparkSession, sf_dir: str, k: int = L.LDA_K, top: int = 10) -> DataFrame:
+    """(lang, topic, rank, term, weight): top words of each (language, fixed topic)."""
+    ft = fixed_topics(spark, sf_dir, k)
+    words = ft.select("lang", "topic", F.explode_outer("tokens").alias("term")).where(
+        F.col("term").isNotNull())
+    cnt = words.groupBy("lang", "topic", "term").agg(F.count(F.lit(1)).alias("n"))
+    tot = words.groupBy("lang", "topic").agg(F.count(F.lit(1)).alias("tot"))
+    w = Window.partitionBy("lang", "topic").orderBy(F.desc("n"), F.asc("term"))
+    ranked = cnt.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return ranked.join(tot, ["lang", "topic"]).select(
+        "lang", "topic", "rank", "term", F.round(F.col("n") / F.col("tot"), 4).alias("weight"))
+
+
+def topic_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = topic_group_words(spark, sf_dir)
+    wtxt = F.format_string("%.4f", F.col("weight"))
+    a_item = F.concat(wtxt, F.lit('*"'), F.col("term"), F.lit('"'))
+    b_item = F.concat(F.lit("   "), F.col("term"), F.lit(" ("), wtxt, F.lit(")"))
+    per_topic = g.groupBy("lang", "topic").agg(
+        F.array_sort(F.collect_list(F.struct("rank", a_item.alias("a"), b_item.alias("b")))).alias("items"))
+    a_body = F.array_join(F.transform("items", lambda x: x["a"]), " + ")
+    a_line = F.concat(F.lit("("), F.col("topic"), F.lit(", '"), a_body, F.lit("')"))
+    b_block = F.concat(F.lit(DUMP_B_BULLET), F.col("topic"), F.lit(":\n"),
+                       F.array_join(F.transform("items", lambda x: x["b"]), "\n"))
+    a_dup = F.concat(F.lit("("), F.col("topic"), F.lit(", '"),
+                     F.array_join(F.transform(F.slice("items", 1, 3), lambda x: x["a"]), " + "), F.lit("')"))
+    lines = per_topic.select("lang", "topic", a_line.alias("a_line"), b_block.alias("b_block"),
+                             a_dup.alias("a_dup"))
+    files = lines.groupBy("lang").agg(
+        F.array_sort(F.collect_list(F.struct("topic", "a_line", "b_block", "a_dup"))).alias("t"))
+    a_text = F.array_join(F.transform("t", lambda x: x["a_line"]), "\n")
+    b_text = F.array_join(F.transform("t", lambda x: x["b_block"]), "\n\n")
+    first_dup = F.element_at(F.col("t"), 1)["a_dup"]
+    text = (F.when(F.col("lang") == "en", F.concat(F.lit("Topics generated 2023-07-24\n"), a_text,
+                                                    F.lit("\n"), first_dup))
+            .when(F.col("lang") == "fr", F.concat(a_text, F.lit("\n(99, 'none')")))
+            .when(F.col("lang") == "de", F.concat(F.lit(DUMP_B_HEADER + "\nRun of 07/24/2023\n\n"), b_text))
+            .otherwise(F.concat(F.lit(DUMP_B_HEADER + "\n\n"), b_text, F.lit("\n"))))
+    return files.select(F.concat(F.lit("topics_"), F.col("lang"), F.lit(".txt")).alias("file"),
+                        text.alias("text"))
+
+
+def topic_dump_sql() -> str:
+    nl = "chr(10)"
+    return fixed_topics_sql() + f""",
+tg_words AS (SELECT lang, topic, unnest(tokens) AS term FROM fixed_topics),
+tg_cnt AS (SELECT lang, topic, term, count(*) AS n FROM tg_words GROUP BY 1, 2, 3),
+tg_tot AS (SELECT lang, topic, count(*) AS tot FROM tg_words GROUP BY 1, 2),
+topic_group_words AS (
+  SELECT c.lang, c.topic, c.rank, c.term, round(c.n / t.tot, 4) AS weight
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang, topic ORDER BY n DESC, term ASC) AS rank FROM tg_cnt) c
+  JOIN tg_tot t ON c.lang = t.lang AND c.topic = t.topic WHERE c.rank <= 10),
+tg_lines AS (
+  SELECT lang, topic,
+    '(' || topic || ', ''' || string_agg(printf('%.4f', weight) || '*"' || term || '"', ' + ' ORDER BY rank) || ''')' AS a_line,
+    {sql_str(DUMP_B_BULLET)} || topic || ':' || {nl} || string_agg('   ' || term || ' (' || printf('%.4f', weight) || ')', {nl} ORDER BY rank) AS b_block,
+    '(' || topic || ', ''' || string_agg(printf('%.4f', weight) || '*"' || term || '"', ' + ' ORDER BY rank) FILTER (WHERE rank <= 3) || ''')' AS a_dup
+  FROM topic_group_words GROUP BY lang, topic),
+tg_files AS (
+  SELECT lang, string_agg(a_line, {nl} ORDER BY topic) AS a_text, string_agg(b_block, {nl} || {nl} ORDER BY topic) AS b_text,
+         arg_min(a_dup, topic) AS first_dup
+  FROM tg_lines GROUP BY lang),
+topic_dump AS (
+  SELECT 'topics_' || lang || '.txt' AS file,
+    CASE lang WHEN 'en' THEN 'Topics generated 2023-07-24' || {nl} || a_text || {nl} || first_dup
+              WHEN 'fr' THEN a_text || {nl} || '(99, ''none'')'
+              WHEN 'de' THEN {sql_str(DUMP_B_HEADER)} || {nl} || 'Run of 07/24/2023' || {nl} || {nl} || b_text
+              ELSE {sql_str(DUMP_B_HEADER)} || {nl} || {nl} || b_text || {nl} END AS text
+  FROM tg_files)"""
