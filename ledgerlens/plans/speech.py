@@ -13,7 +13,8 @@ from ..functions import lexicons as L
 from ..functions.tokens import exclude_words, preprocess_speech
 from ..operators import phrases as PH
 from ..operators import relational as R
-from ..operators import vocab as V
+from ..operators import vocab as V  # noqa: F401  (re-exported for plans)
+from ..session import materialize
 from ..sources import derived
 
 
@@ -33,12 +34,14 @@ def speech_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return PH.phrase_scores(speech_tokens(spark, sf_dir))
+    return PH.phrase_scores(materialize(speech_tokens(spark, sf_dir)))
 
 
 def final_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K12 then K13: phrase-joined tokens without the analyst exclusion list."""
-    toks = speech_tokens(spark, sf_dir)
+    # the token table feeds six branches (counts, vocabulary size, pairs, join):
+    # written once, read six times
+    toks = materialize(speech_tokens(spark, sf_dir))
     applied = PH.apply_phrases(toks, PH.phrase_scores(toks), "file_name")
     return applied.withColumn("tokens", exclude_words(F.col("tokens")))
 

@@ -62,3 +62,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name
+
+
+def materialize(df):
+    """Cut lineage before iterative or multi-pass steps.
+
+    A reliable checkpoint written under ``spark.checkpoint.dir`` (shared
+    storage on a cluster): later passes read it instead of recomputing the
+    upstream text pipeline, and a lost executor does not force a recompute of
+    the whole lineage. Never a local checkpoint.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
