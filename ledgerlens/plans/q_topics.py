@@ -9,6 +9,7 @@ from ..functions.regexkit import sql_str
 from ..functions.tokens import extract_date_sql
 from ..operators import dump as D
 from ..operators import topic_tables as TT
+from ..session import materialize
 from ..sources import derived
 from .catalog import query
 
@@ -98,7 +99,9 @@ def _parsed_ctes() -> str:
 
 
 def _parsed_df(spark, sf_dir):
-    dumps = derived.topic_dump(spark, sf_dir)
+    # a handful of dump files (one per language); every table below reads them
+    # several times, so they are written once instead of re-tokenising the corpus
+    dumps = materialize(derived.topic_dump(spark, sf_dir))
     return dumps, D.parse_any(D.dump_lines(dumps))
 
 

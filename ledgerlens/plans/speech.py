@@ -6,7 +6,7 @@ of the topic-analysis workload.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -18,13 +18,30 @@ from ..session import materialize
 from ..sources import derived
 
 
-def speech_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speeches joined to first-wins metadata dated after the cut-off."""
+def _observed(df: DataFrame, name: str, observations: dict | None) -> DataFrame:
+    """Row count of a stage as an observed metric (no extra job)."""
+    if observations is None:
+        return df
+    obs = Observation(name)
+    observations[name] = obs
+    return df.observe(obs, F.count(F.lit(1)).alias("rows"))
+
+
+def speech_sample(spark: SparkSession, sf_dir: str, observations: dict | None = None) -> DataFrame:
+    """Speeches joined to first-wins metadata dated after the cut-off.
+
+    With ``observations`` (a dict), the row counts of each stage are recorded
+    as ``Observation`` metrics filled by the first action (J14).
+    """
     pre, post = derived.meta_parts(spark, sf_dir)
-    meta = R.first_wins(R.union_parts(pre, post), "file_name", ("part", "pos"), ("date", "speaker"))
-    meta = meta.where(F.col("date") > F.lit(L.SPEECH_DATE_AFTER).cast("date"))
-    sp = derived.speeches(spark, sf_dir).select("file_name", "text", "year")
-    return sp.join(meta, "file_name", "inner")
+    meta = _observed(R.union_parts(pre, post), "meta_rows", observations)
+    meta = _observed(R.first_wins(meta, "file_name", ("part", "pos"), ("date", "speaker")),
+                     "meta_distinct_rows", observations)
+    meta = _observed(meta.where(F.col("date") > F.lit(L.SPEECH_DATE_AFTER).cast("date")),
+                     "meta_dated_rows", observations)
+    sp = _observed(derived.speeches(spark, sf_dir).select("file_name", "text", "year"),
+                   "speech_rows", observations)
+    return _observed(sp.join(meta, "file_name", "inner"), "sample_rows", observations)
 
 
 def speech_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

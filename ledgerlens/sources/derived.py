@@ -252,11 +252,13 @@ fixed_topics AS (SELECT doc_id, lang, source, tokens, (doc_id % {k})::INT AS top
 
 def fixed_theta(spark: SparkSession, sf_dir: str, k: int = L.LDA_K) -> DataFrame:
     """theta(d, t) = share of d's tokens whose length is t modulo k."""
-    t = doc_tokens(spark, sf_dir).select("doc_id", F.explode("tokens").alias("w"))
-    c = (t.groupBy("doc_id", (F.length("w") % k).cast("int").alias("topic")).count())
-    tot = t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return c.join(tot, "doc_id").select(
-        "doc_id", "topic", (F.col("count") / F.col("n")).alias("theta"))
+    t = (doc_tokens(spark, sf_dir).select("doc_id", F.explode_outer("tokens").alias("w"))
+         .where(F.col("w").isNotNull()))
+    c = t.groupBy("doc_id", (F.length("w") % k).cast("int").alias("topic")).agg(
+        F.count(F.lit(1)).alias("cnt"))
+    # document total from the (at most k) rows of the same document: one pass
+    tot = F.sum("cnt").over(Window.partitionBy("doc_id"))
+    return c.select("doc_id", "topic", (F.col("cnt") / tot).alias("theta"))
 
 
 def fixed_theta_sql(k: int = L.LDA_K) -> str:

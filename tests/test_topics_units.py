@@ -66,3 +66,27 @@ def test_lda_invariants(spark):
     sums = th.groupBy("file_name").agg(F.sum("theta").alias("s")).collect()
     assert sums and all(abs(r.s - 1.0) < 1e-6 for r in sums)
     assert {r.topic for r in th.select("topic").distinct().collect()} <= set(range(4))
+
+
+def test_stage_row_counts(spark):
+    from ledgerlens.plans import speech as SP
+    obs = {}
+    n = SP.speech_sample(spark, SF001, obs).count()
+    assert obs["sample_rows"].get["rows"] == n
+    assert obs["meta_rows"].get["rows"] >= obs["meta_distinct_rows"].get["rows"] >= obs["meta_dated_rows"].get["rows"]
+
+
+def test_k_sweep_small_grid(spark):
+    from ledgerlens.operators import coherence as CO
+    from ledgerlens.operators import lda as LDA
+    from ledgerlens.plans.q_models import lda_parts
+    toks, vectors, terms, _ = lda_parts(spark, SF001, k=2)
+
+    def score(model):
+        words = LDA.topic_terms(model, terms, 20)
+        return CO.model_coherence(CO.coherence_cv(toks, words, "file_name"))
+
+    grid = LDA.k_sweep(vectors, score, ks=(2, 3), corpora=(("75% Corpus", 0.75), ("100% Corpus", 1.0)))
+    rows = grid.collect()
+    assert len(rows) == 4 and {r.Topics for r in rows} == {2, 3}
+    assert all(-1.0 <= r.Coherence <= 1.0 for r in rows)
