@@ -14,6 +14,7 @@ from pyspark.sql import Window
 
 from ..functions import lexicons as L
 from ..functions.tokens import extract_date
+from ..session import materialize
 from .report import explode_tokens
 
 
@@ -45,7 +46,9 @@ def ctfidf(docs: DataFrame, topic_col: str = "topic", tokens_col: str = "tokens"
     excluded from the ranking but counts towards A and f, as in the fit.
     """
     words = explode_tokens(docs, tokens_col, "term", keep=(topic_col,))
-    tf = words.groupBy(topic_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # (topic, term) counts feed four branches (class size, term frequency, the
+    # mean class size and the join): written once, at most topics x vocabulary rows
+    tf = materialize(words.groupBy(topic_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     size = tf.groupBy(topic_col).agg(F.sum("tf").alias("size"))
     freq = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     avg = size.agg(F.floor(F.avg("size"))).scalar()
