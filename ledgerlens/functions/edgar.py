@@ -20,7 +20,7 @@ UWS = WS
 # FIXED VALUES: block and tag patterns.
 DOC_BLOCK_STRICT = "(?is)<DOCUMENT>" + UWS + "*(.*?)</DOCUMENT>"
 DOC_BLOCK_LENIENT = "(?is)<DOCUMENT>(.*?)</DOCUMENT>"
-HEADER_RE = "(?is)(.*?)(<SEC-HEADER>(.*?)</SEC-HEADER>)"
+HEADER_RE = "(?is)^(.*?)(<SEC-HEADER>(.*?)</SEC-HEADER>)"  # anchored: linear when absent
 SUBMISSION_TYPE_RE = "(?i)CONFORMED SUBMISSION TYPE:" + UWS + "*([A-Z0-9-]+)"
 TYPE_STRICT_RE = "(?i)<TYPE>" + UWS + "*([^" + WSC + "<]+)"
 TEXT_GREEDY_RE = "(?is)<TEXT>(.*)</TEXT>"
