@@ -311,8 +311,9 @@ def topic_group_words(spark: SparkSession, sf_dir: str, k: int = L.LDA_K, top: i
         F.col("term").isNotNull())
     cnt = words.groupBy("lang", "topic", "term").agg(F.count(F.lit(1)).alias("n"))
     tot = words.groupBy("lang", "topic").agg(F.count(F.lit(1)).alias("tot"))
-    w = Window.partitionBy("lang", "topic").orderBy(F.desc("n"), F.asc("term"))
-    ranked = cnt.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    # one language may hold most of the corpus: salted two-stage top-n
+    from ..operators.topic_tables import top_n_per_group
+    ranked = top_n_per_group(cnt, ["lang", "topic"], [F.desc("n"), F.asc("term")], top, salt_col="term")
     return ranked.join(tot, ["lang", "topic"]).select(
         "lang", "topic", "rank", "term", F.round(F.col("n") / F.col("tot"), 4).alias("weight"))
 
