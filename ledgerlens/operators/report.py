@@ -56,5 +56,9 @@ def theme_distribution(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame
     total = counts.agg(F.sum("n")).scalar()
     lex = F.broadcast(theme_table(spark))
     joined = counts.join(lex, counts.term == lex.word, "inner")
-    return (joined.groupBy("theme").agg(F.sum("n").alias("words"))
-            .select("theme", "words", F.round(F.col("words") * 100.0 / total, 4).alias("pct")))
+    per_theme = joined.groupBy("theme").agg(F.sum("n").alias("words"))
+    # every theme is reported, with 0 words when none of its words occurs
+    themes = F.broadcast(theme_table(spark).select("theme").distinct())
+    out = themes.join(per_theme, "theme", "left").select(
+        "theme", F.coalesce("words", F.lit(0)).cast("bigint").alias("words"))
+    return out.select("theme", "words", F.round(F.col("words") * 100.0 / total, 4).alias("pct"))

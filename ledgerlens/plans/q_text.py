@@ -30,8 +30,11 @@ def _theme_distribution_sql() -> str:
     return f"""WITH {derived.doc_tokens_sql()},
 counts AS (SELECT term, count(*) AS n FROM (SELECT unnest(tokens) AS term FROM doc_tokens) GROUP BY term),
 lex(word, theme) AS (VALUES {rows})
-SELECT theme, sum(n) AS words, round(sum(n) * 100.0::DOUBLE / (SELECT sum(n)::DOUBLE FROM counts), 4) AS pct
-FROM counts JOIN lex ON counts.term = lex.word GROUP BY theme"""
+SELECT t.theme, coalesce(w.words, 0)::BIGINT AS words,
+       round(coalesce(w.words, 0) * 100.0::DOUBLE / (SELECT sum(n)::DOUBLE FROM counts), 4) AS pct
+FROM (SELECT DISTINCT theme FROM lex) t LEFT JOIN (
+  SELECT theme, sum(n) AS words FROM counts JOIN lex ON counts.term = lex.word GROUP BY theme) w
+ON t.theme = w.theme"""
 
 
 @query("theme_distribution", ("K15",), _theme_distribution_sql)
