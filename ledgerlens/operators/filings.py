@@ -36,17 +36,24 @@ def _banner(t: Column) -> Column:
 
 def clean_filings(filings: DataFrame, raw_col: str = "raw", keep_header: bool = True,
                   keep=("f",)) -> DataFrame:
-    """One clean text per filing (header, then banner + body per kept block)."""
+    """One clean text per filing (header, then banner + body per kept block).
+
+    The primary form is bound once per filing (``let``): referenced directly
+    inside the per-block filter it would be re-extracted for every block.
+    """
     raw = F.col(raw_col)
-    form = E.primary_form(raw)
-    typed = F.transform(E.document_blocks(raw),
-                        lambda b: F.struct(E.doc_type_strict(b).alias("t"), b.alias("b")))
-    kept = F.filter(typed, lambda s: E.keep_block(s["t"], form))
-    cleaned = F.transform(kept, lambda s: F.struct(
-        s["t"].alias("t"), clean_body(E.text_body_greedy(s["b"])).alias("body")))
-    nonempty = F.filter(cleaned, lambda s: s["body"] != "")
-    sections = F.array_join(
-        F.transform(nonempty, lambda s: F.concat(_banner(s["t"]), F.lit("\n"), s["body"])), "\n\n")
+
+    def sections_for(form: Column) -> Column:
+        typed = F.transform(E.document_blocks(raw),
+                            lambda b: F.struct(E.doc_type_strict(b).alias("t"), b.alias("b")))
+        kept = F.filter(typed, lambda s: E.keep_block(s["t"], form))
+        cleaned = F.transform(kept, lambda s: F.struct(
+            s["t"].alias("t"), clean_body(E.text_body_greedy(s["b"])).alias("body")))
+        nonempty = F.filter(cleaned, lambda s: s["body"] != "")
+        return F.array_join(
+            F.transform(nonempty, lambda s: F.concat(_banner(s["t"]), F.lit("\n"), s["body"])), "\n\n")
+
+    sections = let(E.primary_form(raw), sections_for)
     header = E.sec_header(raw) if keep_header else F.lit(None).cast("string")
     text = py_strip(F.concat_ws("\n\n", header, sections))
     return filings.select(*keep, text.alias("clean_text"))
