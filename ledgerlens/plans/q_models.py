@@ -80,7 +80,7 @@ FROM pj JOIN pw ON pj.term = pw.term JOIN sal ON sal.term = pj.term WHERE pj.p >
 
 
 def _fixed_phi_theta(spark, sf_dir):
-    ft = derived.fixed_topics(spark, sf_dir)
+    ft = materialize(derived.fixed_topics(spark, sf_dir))      # feeds phi, theta and lengths
     words = ft.select("topic", F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
     tf = words.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
     tot = tf.groupBy("topic").agg(F.sum("n").alias("tot"))

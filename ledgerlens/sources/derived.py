@@ -8,7 +8,7 @@ its size grows with them. The SQL twin is the same rule for the DuckDB oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -20,7 +20,7 @@ from .tables import table
 NL = "\n"
 
 
-def _case_by_index(idx: Column, values) -> "Column":  # noqa: F821
+def _case_by_index(idx: Column, values) -> Column:
     expr = None
     for i, v in enumerate(values):
         expr = F.when(idx == i, F.lit(v)) if expr is None else expr.when(idx == i, F.lit(v))
