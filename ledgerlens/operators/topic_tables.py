@@ -228,3 +228,22 @@ def categorize(parsed: DataFrame, dumps: DataFrame) -> DataFrame:
         F.coalesce("theme", F.lit("Uncategorized")).alias("Category"),
         F.coalesce(F.round(F.col("score") / F.col("total"), 4), F.lit(0.0)).alias("Confidence"),
         F.coalesce(F.array_join("terms", ", "), F.lit("")).alias("Rationale"))
+
+
+CATEGORY_SCHEMA = "category string, confidence double, rationale string"
+
+
+def categorize_with(parsed: DataFrame, dumps: DataFrame, classifier) -> DataFrame:
+    """P12 with a user's own classifier in place of the lexicon rule.
+
+    ``classifier`` is an Arrow-batched ``pandas_udf`` mapping the topic-summary
+    strings to ``struct<category, confidence, rationale>`` (D20). It runs once
+    per file on the summary text only; confidence outside [0, 1] fails the job.
+    """
+    base = categorize(parsed, dumps).drop("Category", "Confidence", "Rationale")
+    res = base.withColumn("_r", classifier(F.col("TopicSummary")))
+    conf = F.col("_r.confidence")
+    checked = F.when(conf.between(0.0, 1.0), conf).otherwise(
+        F.raise_error(F.lit("confidence must be within [0, 1]")))
+    return res.select(*[c for c in base.columns], F.col("_r.category").alias("Category"),
+                      checked.alias("Confidence"), F.col("_r.rationale").alias("Rationale"))

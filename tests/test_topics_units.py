@@ -90,3 +90,18 @@ def test_k_sweep_small_grid(spark):
     rows = grid.collect()
     assert len(rows) == 4 and {r.Topics for r in rows} == {2, 3}
     assert all(-1.0 <= r.Coherence <= 1.0 for r in rows)
+
+
+def test_classifier_hook(spark):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf(TT.CATEGORY_SCHEMA)
+    def by_length(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"category": ["long" if len(x) > 200 else "short" for x in s],
+                             "confidence": [0.5] * len(s), "rationale": ["length"] * len(s)})
+
+    dumps, parsed = _parsed(spark)
+    rows = TT.categorize_with(parsed, dumps, by_length).collect()
+    assert len(rows) == 2 and {r.Category for r in rows} <= {"long", "short"}
+    assert all(r.Confidence == 0.5 for r in rows)
