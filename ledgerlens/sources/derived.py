@@ -177,7 +177,7 @@ def speeches_sql() -> str:
          DATE '1996-01-01' + ((doc_id * 13) % 9000)::INT AS date
   FROM documents
 ),
-speeches AS (SELECT file_name, text, year(date) AS year, source, doc_id FROM speech_base),
+speeches AS (SELECT file_name, text, year(date)::INT AS year, source, doc_id FROM speech_base),
 meta_pre AS (
   SELECT file_name, date, source AS speaker, doc_id AS pos FROM speech_base WHERE date < DATE '2011-01-01'
   UNION ALL SELECT file_name, date, 'alt_' || source, doc_id FROM speech_base
