@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, quality, url_filter
+from . import exact, packing, quality, token_counts, url_filter
 from .common import read_table
 
 
@@ -13,6 +13,14 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages", "page_id", "url"), url_filter.page_outcomes(labels))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -21,7 +29,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op6_quality_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_packing, op5_token_counts, op6_quality_rules, op10_exact_dedup)}
 
 OP1_SQL = r"""
 WITH p AS (
