@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, quality, token_counts, url_filter
+from . import exact, packing, quality, substrings, token_counts, url_filter
 from .common import read_table
 
 
@@ -17,6 +17,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicate_substrings(read_table(spark, sf_dir, "documents", "doc_id", "text"), width=20)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "removed")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -29,7 +34,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_packing, op5_token_counts, op6_quality_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_substring_dedup, op5_token_counts, op6_quality_rules, op10_exact_dedup)}
 
 OP1_SQL = r"""
 WITH p AS (
