@@ -15,9 +15,10 @@ WHITE = r"[\x20\x09-\x0D]+"
 #: ... and of a word: everything between them.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side is broadcast only when its written table has at most this many rows ...
-BROADCAST_ROWS = 200_000
-#: ... which, at the fixed-width rows it is used for, is at most a few tens of MB.
+#: A side is broadcast only when its written table is proven to be at most this large ...
+BROADCAST_BYTES = 8 << 20
+#: ... which holds for this many narrow rows.
+BROADCAST_ROWS = 65_536
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:

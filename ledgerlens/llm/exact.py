@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, discard, release_shuffles, small, text_of, written
+from .common import BROADCAST_BYTES, WHITE, discard, release_shuffles, small, text_of, written
 
 
 def normalised(text: str = "text"):
@@ -48,7 +48,8 @@ def exact_groups(docs: DataFrame, first_digit: int = 64, max_digit: int = 1 << 2
         groups = written(
             now.groupBy("grp", "digit").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("keep_id"))
             .where("size > 1").withColumn("next", F.monotonically_increasing_id()), "radix-groups")
-        split = now.join(small(groups, 50_000), ["grp", "digit"], "left")
+        # a row of it has at most the digit and five numbers
+        split = now.join(small(groups, BROADCAST_BYTES // (digit + 64)), ["grp", "digit"], "left")
         ended = F.length("digit") < digit
         open_ = F.col("size").isNotNull() & ~ended
         step = written(split.select(
