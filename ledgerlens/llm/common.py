@@ -14,6 +14,8 @@ from ledgerlens.session import scratch_path
 WHITE = r"[\x20\x09-\x0D]+"
 #: ... and of a word: everything between them.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Stands for a null doc_id where one must sort: after all others.
+LAST_ID = 2**63 - 1
 
 #: A side is broadcast only when its written table is proven to be at most this large ...
 BROADCAST_BYTES = 8 << 20
@@ -84,11 +86,3 @@ def doc_key(text: str = "text") -> Column:
     apart, and a null doc_id does not gather all its rows under one key.
     """
     return F.xxhash64(F.lit(7), text_of(text))
-
-
-def null_safe(left: DataFrame, right: DataFrame, keys: tuple[str, ...], nullable: tuple[str, ...]) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k]) if k in nullable else left[k] == right[k]
-        cond = c if cond is None else cond & c
-    return cond

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, quality, substrings, token_counts, url_filter
+from . import exact, packing, quality, simhash, substrings, token_counts, url_filter
 from .common import read_table
 
 
@@ -22,6 +22,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "removed")
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), words=4, radius=4)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -34,7 +38,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_substring_dedup, op5_token_counts, op6_quality_rules, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_substring_dedup, op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op10_exact_dedup)}
 
 OP1_SQL = r"""
 WITH p AS (

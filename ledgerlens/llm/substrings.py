@@ -35,14 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, doc_key, release_shuffles, text_of, written
+from .common import LAST_ID, discard, doc_key, release_shuffles, text_of, written
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Windows of a task that are hashed and dealt out at once.
 _SLICE = 1 << 21
-#: A null doc_id sorts last.
-_LAST = np.iinfo(np.int64).max
 
 
 class _WordHashes(dict):
@@ -128,7 +126,7 @@ def _starts(doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> pa.RecordBat
 def repeated_starts(docs: DataFrame, width: int = 20, bucket_windows: int = 1 << 21) -> DataFrame:
     """doc, key, starts: the windows that also start earlier, as 32-bit starts; several rows a document."""
     spark = docs.sparkSession
-    body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))).alias("doc"), doc_key().alias("key"), text_of().alias("text"))
+    body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), doc_key().alias("key"), text_of().alias("text"))
     # a word and its white space take two bytes or more, six or so in prose; only the buckets' size depends on it
     size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / 6 / bucket_windows))
@@ -207,7 +205,7 @@ def deduplicate_substrings(docs: DataFrame, width: int = 20, bucket_windows: int
     merged = written(found.groupBy("doc", "key").agg(F.collect_list("starts").alias("starts")), "removals")
     release_shuffles(spark)
     discard(found)
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))).alias("doc"),
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
                        doc_key().alias("key"), text_of().alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
