@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, packing, quality, simhash, substrings, token_counts, url_filter
+from . import exact, lines, mixing, packing, quality, simhash, substrings, token_counts, url_filter
 from .common import read_table
 
 
@@ -34,6 +34,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_runs(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -42,7 +46,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_substring_dedup, op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op9_source_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_substring_dedup, op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op8_line_dedup, op9_source_mixing, op10_exact_dedup)}
 
 OP1_SQL = r"""
 WITH p AS (
