@@ -1,19 +1,52 @@
-"""The corpus pipeline: documents to packed training sequences, one operator a stage."""
+"""The corpus pipeline: documents to packed training sequences, one operator a stage.
+
+Every stage works on all that the one before kept. All but the last return the
+columns of documents; extra columns pass through. The operators' docstrings
+say what nulls, empty texts, ties and repeated rows give.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import quality
+from ledgerlens.llm import lines, mixing, packing, quality, simhash
 from ledgerlens.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that a quality rule rejects go."""
     return quality.kept_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go from the texts, and documents that are nothing but such copies go whole."""
+    out = lines.deduplicated(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    return simhash.representatives(docs, words=4, radius=4)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources reach their target weights: every document at least once, none more than about twice as often as another."""
+    return mixing.mixed_documents(docs, max_repeat=2.0)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of 2048-token sequences that all documents are packed into."""
+    return packing.pack(docs, window=2048)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("source_mixing", source_mixing),
+    ("sequence_packing", sequence_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

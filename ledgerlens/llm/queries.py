@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, lines, mixing, packing, quality, simhash, substrings, token_counts, url_filter
+from ledgerlens.session import scratch_path
+
+from . import exact, lines, materialise, mixing, packing, quality, simhash, substrings, token_counts, url_filter
 from .common import read_table
 
 
@@ -34,6 +38,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, f"llm-shards-{uuid.uuid4().hex}")
+    shards = materialise.materialise(read_table(spark, sf_dir, "documents", "doc_id", "text"), path, length=2048, per_shard=2048)
+    return materialise.read_records(spark, shards).join(shards.index, "slot").select("slot", "shard", "byte_offset", "ids_crc32", "docs")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_runs(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -46,7 +56,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_packing, op3_substring_dedup, op4_simhash_near_dedup, op5_token_counts, op6_quality_rules, op8_line_dedup, op9_source_mixing, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filters, op2_packing, op3_substring_dedup, op4_simhash_near_dedup, op5_token_counts,
+    op6_quality_rules, op7_token_shards, op8_line_dedup, op9_source_mixing, op10_exact_dedup)}
 
 OP1_SQL = r"""
 WITH p AS (
