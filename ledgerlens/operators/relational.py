@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import materialize
+
 
 def union_parts(*parts: DataFrame) -> DataFrame:
     """Concatenate metadata parts; ``part`` records which came first."""
@@ -35,10 +37,9 @@ def row_positions(df: DataFrame, order: list[Column], out: str = "row_no") -> Da
     checkpoint in ``spark.checkpoint.dir``), so both passes see the same
     partitioning; per-partition counts (one row per partition) give offsets.
     """
-    sorted_df = (df.orderBy(*order)
-                 .withColumn("_pid", F.spark_partition_id())
-                 .withColumn("_mid", F.monotonically_increasing_id())
-                 .checkpoint(eager=True))
+    sorted_df = materialize(df.orderBy(*order)
+                            .withColumn("_pid", F.spark_partition_id())
+                            .withColumn("_mid", F.monotonically_increasing_id()))
     counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

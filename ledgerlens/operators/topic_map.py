@@ -30,17 +30,16 @@ def term_stats(phi: DataFrame, prev: DataFrame, lam: float = 0.6) -> DataFrame:
     relevance = lam * ln(phi) + (1 - lam) * ln(lift);
     saliency(w) = p(w) * sum_t p(t|w) ln(p(t|w) / p(t)), p(t|w) = p(t) phi(t, w) / p(w).
     """
-    j = phi.join(prev, "topic")
-    pw = j.groupBy("term").agg(F.sum(F.col("share") * F.col("p")).alias("pw"))
-    jj = j.join(pw, "term")
-    ptw = F.col("share") * F.col("p") / F.col("pw")
-    dist = jj.where(F.col("p") > 0).groupBy("term").agg(
-        F.sum(ptw * F.log(ptw / F.col("share"))).alias("kl"))
-    sal = pw.join(dist, "term").select("term", (F.col("pw") * F.col("kl")).alias("saliency"))
-    rel = jj.where(F.col("p") > 0).select(
+    # one row a topic: bounded by k
+    j = phi.where(F.col("p") > 0).join(F.broadcast(prev), "topic")
+    sp = F.col("share") * F.col("p")
+    # saliency in one pass: p(w) sum_t p(t|w) ln(p(t|w) / p(t)) = sum_t p(t) phi ln(phi) - p(w) ln p(w)
+    w = j.groupBy("term").agg(F.sum(sp).alias("pw"), F.sum(sp * F.log("p")).alias("plp"))
+    w = w.select("term", "pw", (F.col("plp") - F.col("pw") * F.log("pw")).alias("saliency"))
+    return j.join(w, "term").select(
         "topic", "term", "p",
-        (F.lit(lam) * F.log("p") + F.lit(1 - lam) * F.log(F.col("p") / F.col("pw"))).alias("relevance"))
-    return rel.join(sal, "term")
+        (F.lit(lam) * F.log("p") + F.lit(1 - lam) * F.log(F.col("p") / F.col("pw"))).alias("relevance"),
+        "saliency")
 
 
 def js_distance(phi: DataFrame) -> DataFrame:
@@ -50,8 +49,8 @@ def js_distance(phi: DataFrame) -> DataFrame:
     only shared terms are joined (term-keyed join, no topic cross product):
     JS = 1/2 [sum_shared (p1 ln(2 p1 / (p1 + p2)) + p2 ln(2 p2 / (p1 + p2)))
               + ln 2 * (P1 - S1 + P2 - S2)], with P the topic's total mass and
-    S its mass on shared terms. Topic pairs with no shared term (JS = ln 2)
-    produce no row.
+    S its mass on shared terms. Every pair has a row; one without a shared term
+    has S = 0, so JS = ln 2.
     """
     ln2 = math.log(2.0)
     tot = phi.groupBy("topic").agg(F.sum("p").alias("tot"))
@@ -62,8 +61,11 @@ def js_distance(phi: DataFrame) -> DataFrame:
     shared = j.groupBy("t1", "t2").agg(
         F.sum(F.col("p1") * F.log(2 * F.col("p1") / s) + F.col("p2") * F.log(2 * F.col("p2") / s)).alias("kl"),
         F.sum("p1").alias("s1"), F.sum("p2").alias("s2"))
-    t1 = tot.select(F.col("topic").alias("t1"), F.col("tot").alias("P1"))
-    t2 = tot.select(F.col("topic").alias("t2"), F.col("tot").alias("P2"))
-    r = shared.join(t1, "t1").join(t2, "t2")
+    # all pairs from the list of topics: k values, and k (k - 1) / 2 rows
+    topics = tot.agg(F.array_sort(F.collect_list(F.struct("topic", "tot"))).alias("ts"))
+    one = topics.select("ts", F.explode("ts").alias("x")).select("x", F.explode("ts").alias("y"))
+    every = one.where(F.col("x.topic") < F.col("y.topic")).select(
+        F.col("x.topic").alias("t1"), F.col("y.topic").alias("t2"), F.col("x.tot").alias("P1"), F.col("y.tot").alias("P2"))
+    r = every.join(shared, ["t1", "t2"], "left").na.fill(0.0, ["kl", "s1", "s2"])
     js = (F.col("kl") + F.lit(ln2) * (F.col("P1") - F.col("s1") + F.col("P2") - F.col("s2"))) / 2
     return r.select("t1", "t2", js.alias("js"))

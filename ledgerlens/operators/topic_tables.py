@@ -52,7 +52,7 @@ def ctfidf(docs: DataFrame, topic_col: str = "topic", tokens_col: str = "tokens"
     size = tf.groupBy(topic_col).agg(F.sum("tf").alias("size"))
     freq = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     avg = size.agg(F.floor(F.avg("size"))).scalar()
-    j = tf.join(size, topic_col).join(freq, "term")
+    j = tf.join(F.broadcast(size), topic_col).join(freq, "term")    # one row a topic
     wgt = (F.col("tf") / F.col("size")) * F.log(1 + avg / F.col("f"))
     scored = j.where(F.col(topic_col) != outlier).select(topic_col, "term", wgt.alias("weight"))
     top = top_n_per_group(scored, [topic_col], [F.desc("weight"), F.asc("term")], top_n,
@@ -97,22 +97,48 @@ def keyword_string(words: DataFrame, n_words: int = 20, decimals: int = 3,
 # Document-topic tables from proportions theta
 # ---------------------------------------------------------------------------
 def dominant_topic(theta: DataFrame, key: str, keywords: DataFrame | None = None, nth: int = 1,
-                   decimals: int = 4) -> DataFrame:
-    """The n-th largest topic of each document (ties: lower topic id)."""
+                   decimals: int = 4, docs: DataFrame | None = None) -> DataFrame:
+    """The n-th largest topic of each document (ties: lower topic id).
+
+    With ``docs`` (the key and any columns to carry along) every document has
+    a row; one without proportions, such as one without a vocabulary term, has
+    a null topic. ``keywords`` has one row a topic, so it is broadcast.
+    """
     w = Window.partitionBy(key).orderBy(F.desc("theta"), F.asc("topic"))
     r = theta.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == nth)
     out = r.select(key, F.col("topic").alias("dominant_topic"),
                    F.round("theta", decimals).alias("perc_contribution"))
+    if docs is not None:
+        out = docs.join(out, key, "left")
     if keywords is not None:
-        out = out.join(keywords.withColumnRenamed("topic", "dominant_topic"), "dominant_topic", "left")
+        out = out.join(F.broadcast(keywords.withColumnRenamed("topic", "dominant_topic")), "dominant_topic", "left")
     return out
 
 
+def dominant_table(docs: DataFrame, theta: DataFrame, keywords: DataFrame, key: str = "file_name",
+                   text_col: str = "text") -> DataFrame:
+    """P1 as D17: Document_No, File Name, Dominant_Topic, Topic_Perc_Contrib, Keywords, Text.
+
+    ``docs`` has the key, its row number ``document`` and the text; every row appears.
+    """
+    d = dominant_topic(theta, key, keywords, docs=docs.select(key, "document", text_col))
+    return d.select(F.col("document").alias("Document_No"), F.col(key).alias("File Name"),
+                    F.col("dominant_topic").alias("Dominant_Topic"), F.col("perc_contribution").alias("Topic_Perc_Contrib"),
+                    F.col("keywords").alias("Keywords"), F.col(text_col).alias("Text"))
+
+
 def doc_topic_export(theta: DataFrame, key: str, min_p: float = 0.01) -> DataFrame:
     """Long (document, topic, proportion) rows at or above ``min_p``."""
     return theta.where(F.col("theta") >= min_p).select(key, "topic", F.col("theta").alias("proportion"))
 
 
+def export_table(docs: DataFrame, theta: DataFrame, key: str = "file_name", min_p: float = 0.01) -> DataFrame:
+    """P2 as D18: Document, FileName, Date, Topic, Proportion; ``docs`` has the key, ``document`` and ``date``."""
+    e = doc_topic_export(theta, key, min_p).join(docs.select(key, "document", "date"), key)
+    return e.select(F.col("document").alias("Document"), F.col(key).alias("FileName"), F.col("date").alias("Date"),
+                    F.col("topic").alias("Topic"), F.col("proportion").alias("Proportion"))
+
+
 # ---------------------------------------------------------------------------
 # P6-P12 on parsed topic dumps
 # ---------------------------------------------------------------------------

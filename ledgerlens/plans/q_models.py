@@ -84,7 +84,7 @@ def _fixed_phi_theta(spark, sf_dir):
     words = ft.select("topic", F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
     tf = words.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
     tot = tf.groupBy("topic").agg(F.sum("n").alias("tot"))
-    phi = tf.join(tot, "topic").select("topic", "term", (F.col("n") / F.col("tot")).alias("p"))
+    phi = tf.join(F.broadcast(tot), "topic").select("topic", "term", (F.col("n") / F.col("tot")).alias("p"))
     theta = ft.select("doc_id", "topic", F.lit(1.0).alias("theta"))
     lens = ft.select("doc_id", F.size("tokens").alias("len"))
     return phi, theta, lens
@@ -105,8 +105,9 @@ sh AS (SELECT a.topic AS t1, b.topic AS t2, a.p AS p1, b.p AS p2 FROM phi a JOIN
 tot AS (SELECT topic, sum(p) AS tot FROM phi GROUP BY 1),
 agg AS (SELECT t1, t2, sum(p1 * ln(2 * p1 / (p1 + p2)) + p2 * ln(2 * p2 / (p1 + p2))) AS kl, sum(p1) AS s1, sum(p2) AS s2
         FROM sh GROUP BY 1, 2)
-SELECT t1, t2, round((kl + ln(2) * (a.tot - s1 + b.tot - s2)) / 2, 9) AS js
-FROM agg JOIN tot a ON a.topic = agg.t1 JOIN tot b ON b.topic = agg.t2"""
+SELECT a.topic AS t1, b.topic AS t2,
+       round((coalesce(kl, 0) + ln(2) * (a.tot - coalesce(s1, 0) + b.tot - coalesce(s2, 0))) / 2, 9) AS js
+FROM tot a JOIN tot b ON a.topic < b.topic LEFT JOIN agg ON agg.t1 = a.topic AND agg.t2 = b.topic"""
 
 
 @query("topic_distance", ("T12",), _topic_distance_sql)
@@ -167,7 +168,7 @@ def cluster_topics(spark, sf_dir):
 @query("cluster_topic_info", ("T9", "T10", "T11", "T13"))
 def cluster_topic_info(spark, sf_dir):
     r = cluster_rows(spark, sf_dir)
-    words = TT.ctfidf(r, "topic", "tokens", top_n=12)
+    words = TT.ctfidf(r, "topic", "tokens", top_n=20)
     info = TT.topic_info(r, words)
     kw = TT.keyword_string(words, n_words=20)
     return info.join(kw.withColumnRenamed("topic", "topic_id"), "topic_id", "left")

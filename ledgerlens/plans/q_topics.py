@@ -8,9 +8,11 @@ from ..functions import lexicons as L
 from ..functions.regexkit import sql_str
 from ..functions.tokens import extract_date_sql
 from ..operators import dump as D
+from ..operators import relational as R
 from ..operators import topic_tables as TT
 from ..session import materialize
 from ..sources import derived
+from ..sources.tables import table
 from .catalog import query
 
 
@@ -70,14 +72,64 @@ def topic_keywords(spark, sf_dir):
 # P1, P2 on fixed proportions --------------------------------------------------
 def _dominant_sql() -> str:
     return f"""WITH {derived.fixed_theta_sql()}
-SELECT doc_id, topic AS dominant_topic, round(theta, 4) AS perc_contribution FROM (
+SELECT d.doc_id, topic AS dominant_topic, round(theta, 4) AS perc_contribution FROM documents d LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY theta DESC, topic ASC) AS r FROM fixed_theta) t
-WHERE r = 1"""
+ON d.doc_id = t.doc_id AND r = 1"""
 
 
 @query("dominant_topic", ("P1", "J3"), _dominant_sql)
 def dominant_topic(spark, sf_dir):
-    return TT.dominant_topic(derived.fixed_theta(spark, sf_dir), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return TT.dominant_topic(derived.fixed_theta(spark, sf_dir), "doc_id", docs=docs).select(
+        "doc_id", "dominant_topic", "perc_contribution")
+
+
+# the same as the analyst's tables: row number, file name, date, keywords, text
+def _doc_ctes() -> str:
+    return f"""{derived.fixed_theta_sql()},
+kw AS (SELECT topic, string_agg(term, ', ' ORDER BY n DESC, term) AS keywords FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS r FROM (
+    SELECT (length(w) % {L.LDA_K})::INT AS topic, w AS term, count(*) AS n FROM theta_words GROUP BY 1, 2) c) q
+  WHERE r <= 10 GROUP BY topic),
+docs AS (SELECT doc_id, 'speech_' || doc_id AS file_name, text, DATE '1996-01-01' + ((doc_id * 13) % 9000)::INT AS date,
+                row_number() OVER (ORDER BY doc_id) - 1 AS document FROM documents)"""
+
+
+def _doc_frames(spark, sf_dir):
+    theta = materialize(derived.fixed_theta(spark, sf_dir).withColumn("file_name", F.concat(F.lit("speech_"), F.col("doc_id"))))
+    d = derived.speeches(spark, sf_dir).select("doc_id", "file_name", "text", derived._speech_date(F.col("doc_id")).alias("date"))
+    return R.row_positions(d, [F.col("doc_id")], "document"), theta.select("file_name", "topic", "theta")
+
+
+def _dominant_table_sql() -> str:
+    return f"""WITH {_doc_ctes()}
+SELECT document AS "Document_No", file_name AS "File Name", t.topic AS "Dominant_Topic", round(theta, 4) AS "Topic_Perc_Contrib",
+       keywords AS "Keywords", text AS "Text"
+FROM docs LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY theta DESC, topic ASC) AS r FROM fixed_theta) t
+  ON docs.doc_id = t.doc_id AND r = 1 LEFT JOIN kw ON kw.topic = t.topic"""
+
+
+@query("dominant_topic_table", ("P1", "J3", "D17"), _dominant_table_sql)
+def dominant_topic_table(spark, sf_dir):
+    docs, theta = _doc_frames(spark, sf_dir)
+    words = (derived.doc_tokens(spark, sf_dir).select(F.explode_outer("tokens").alias("term")).where(F.col("term").isNotNull())
+             .groupBy((F.length("term") % L.LDA_K).cast("int").alias("topic"), "term").agg(F.count(F.lit(1)).alias("n")))
+    top = TT.top_n_per_group(words, ["topic"], [F.desc("n"), F.asc("term")], 10, salt_col="term")
+    kw = top.groupBy("topic").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ", ").alias("keywords"))
+    return TT.dominant_table(docs, theta, kw)
+
+
+def _export_table_sql() -> str:
+    return f"""WITH {_doc_ctes()}
+SELECT document AS "Document", file_name AS "FileName", date AS "Date", topic AS "Topic", round(theta, 6) AS "Proportion"
+FROM docs JOIN fixed_theta t ON docs.doc_id = t.doc_id WHERE theta >= 0.01"""
+
+
+@query("doc_topic_table", ("P2", "D18"), _export_table_sql)
+def doc_topic_table(spark, sf_dir):
+    docs, theta = _doc_frames(spark, sf_dir)
+    return TT.export_table(docs, theta).withColumn("Proportion", F.round("Proportion", 6))
 
 
 def _export_sql() -> str:

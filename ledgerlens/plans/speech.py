@@ -68,5 +68,5 @@ def speech_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speech_bow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = final_tokens(spark, sf_dir)
+    toks = materialize(final_tokens(spark, sf_dir))    # read by the dictionary and by the counts
     return V.bag_of_words(toks, V.dictionary(toks, "file_name"), "file_name")
