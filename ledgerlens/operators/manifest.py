@@ -28,22 +28,23 @@ def resolve(manifest: DataFrame, mapping: DataFrame) -> DataFrame:
     """
     paths = manifest.select("path").distinct()
     hits = mapping.join(paths, mapping.fname == paths.path, "left_semi")
-    return manifest.join(hits, manifest.path == hits.fname, "left").select("path", "wrdsfname")
+    return manifest.join(hits, manifest.path == hits.fname, "left").select("path", "archive_path")
 
 
-def outcomes(resolved: DataFrame, archive: DataFrame) -> DataFrame:
+def outcomes(resolved: DataFrame, listing: DataFrame) -> DataFrame:
     """OK / NO MATCH / MISSING / FAILED per manifest row, plus the output name.
 
-    FAILED marks a file that exists but could not be read (NULL content).
+    ``listing`` has one row per file that is there: (archive_path, error), the
+    error null when the file could be read. Paths decide, never contents.
     """
-    present = archive.select("wrdsfname", F.col("raw").isNotNull().alias("_readable"))
-    j = resolved.join(present, "wrdsfname", "left")
-    outcome = (F.when(F.col("wrdsfname").isNull(), F.lit("NO MATCH"))
-               .when(F.col("_readable").isNull(), F.lit("MISSING"))
-               .when(~F.col("_readable"), F.lit("FAILED"))
+    there = listing.select(F.col("archive_path").alias("_there"), "error")
+    j = resolved.join(there, F.col("archive_path") == F.col("_there"), "left")
+    outcome = (F.when(F.col("archive_path").isNull(), F.lit("NO MATCH"))
+               .when(F.col("_there").isNull(), F.lit("MISSING"))
+               .when(F.col("error").isNotNull(), F.lit("FAILED"))
                .otherwise(F.lit("OK")))
-    return j.select("path", "wrdsfname", outcome.alias("outcome"),
-                    F.when(outcome == "OK", clean_output_name(F.col("wrdsfname"))).alias("out_name"))
+    return j.select("path", "archive_path", outcome.alias("outcome"),
+                    F.when(outcome == "OK", clean_output_name(F.col("archive_path"))).alias("out_name"))
 
 
 def outcome_counts(rows: DataFrame) -> DataFrame:

@@ -49,6 +49,15 @@ def row_positions(df: DataFrame, order: list[Column], out: str = "row_no") -> Da
     return joined.withColumn(out, pos).drop("_pid", "_mid", "_off")
 
 
+def fixed_order(df: DataFrame, key: str, partitions: int = 64) -> DataFrame:
+    """Rows dealt to a fixed number of partitions by key and sorted by it.
+
+    Sampling in a model fit follows partitions and their order; these depend on
+    the key alone, not on shuffle settings, cores or what AQE coalesces.
+    """
+    return df.repartition(partitions, key).sortWithinPartitions(key)
+
+
 def prefix_rows(df: DataFrame, order: list[Column], share: float) -> DataFrame:
     """V4: the first ``floor(share * n)`` rows in ``order``."""
     n = df.count()

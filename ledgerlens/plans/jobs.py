@@ -12,6 +12,8 @@ Each job wires existing operators; nothing here holds rows on the driver.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,55 +32,63 @@ from ..session import materialize
 from ..sources import readers, sinks
 
 
-def clean_filings_job(spark: SparkSession, manifest_csv: str, mapping: DataFrame, archive_glob: str,
-                      out_dir: str, keep_header: bool = True) -> DataFrame:
+def clean_filings_job(spark: SparkSession, manifest_csv: str, mapping: DataFrame, archive_root: str,
+                      out_dir: str, keep_header: bool = True, batch: int = 10_000) -> DataFrame:
     """Resolve, read, clean and write; returns the outcome counts.
 
-    ``mapping`` has (fname, wrdsfname); archive files are matched on their file
-    name (an equi-join on the basename, never a pattern join). Each archive
-    file is read once, whatever the number of manifest rows naming it.
+    ``mapping`` has (fname, archive_path), the path below ``archive_root``:
+    that exact file is opened, whatever other files share its name. Outcomes
+    are resolved on a listing of paths; content is read for the wanted files
+    that are there, each once, ``batch`` files a job, and goes through a
+    narrow map straight into the sink. Only paths pass the driver, a batch at
+    a time. A listed file that gives no row could not be read: FAILED.
     """
-    resolved = M.resolve(readers.read_manifest(spark, manifest_csv), mapping)
-    files = readers.read_filings(spark, archive_glob)
-    wanted = (resolved.select("wrdsfname").where(F.col("wrdsfname").isNotNull()).distinct()
-              .withColumn("source_file", F.regexp_extract("wrdsfname", "([^/]*)$", 1)))
-    archive = files.join(wanted, "source_file", "inner").select("wrdsfname", "raw")
-    archive = materialize(archive)
-    rows = M.outcomes(resolved, archive)
-    ok = archive.join(rows.where(F.col("outcome") == "OK").select("wrdsfname").distinct(), "wrdsfname")
-    sinks.write_clean_filings(clean_filings(ok, keep_header=keep_header, keep=("wrdsfname",)), out_dir)
-    return M.outcome_counts(rows)
+    resolved = materialize(M.resolve(readers.read_manifest(spark, manifest_csv), mapping))
+    wanted = resolved.select("archive_path").where(F.col("archive_path").isNotNull()).distinct()
+    there = materialize(readers.list_files(spark, archive_root).join(wanted, "archive_path", "left_semi"))
+    mode = "overwrite"
+    paths = (r["archive_path"] for r in there.toLocalIterator())
+    while some := list(itertools.islice(paths, batch)):
+        cleaned = clean_filings(readers.read_archive(spark, archive_root, some), keep_header=keep_header, keep=("archive_path",))
+        sinks.write_clean_filings(cleaned, out_dir, mode=mode)
+        mode = "append"
+    if mode == "overwrite":
+        return M.outcome_counts(M.outcomes(resolved, there.withColumn("error", F.lit(None).cast("string"))))
+    read = spark.read.parquet(out_dir).select(F.col("source").alias("archive_path"), F.lit(True).alias("_read"))
+    listing = there.join(read, "archive_path", "left").select(
+        "archive_path", F.when(F.col("_read").isNull(), F.lit("unreadable")).alias("error"))
+    return M.outcome_counts(M.outcomes(resolved, listing))
 
 
 def topic_analysis_job(spark: SparkSession, corpus_csv: str, meta_csvs: list[str], out_dir: str,
                        k: int = L.LDA_K) -> dict[str, DataFrame]:
     """Corpus -> tokens -> phrases -> dictionary -> LDA -> topic tables (written as CSV)."""
     speeches = readers.read_corpus(spark, corpus_csv)
-    parts = [readers.read_metadata(spark, p).withColumn("pos", F.monotonically_increasing_id())
-             for p in meta_csvs]
+    parts = [readers.read_metadata(spark, p) for p in meta_csvs]
     meta = R.first_wins(R.union_parts(*parts), "file_name", ("part", "pos"), ("date", "speaker"))
     meta = meta.where(F.col("date") > F.lit(L.SPEECH_DATE_AFTER).cast("date"))
     sample = speeches.join(meta, "file_name", "inner")
-    toks = materialize(sample.select("file_name", "date", preprocess_speech(F.col("text")).alias("tokens"))
-                       .repartition("file_name"))
+    # the text goes along to the dominant-topic table; the row number is the corpus order
+    sample = R.row_positions(sample, [F.col("year"), F.col("file_name")], "document")
+    sample = materialize(sample.select("file_name", "document", "date", "text"))
+    toks = materialize(sample.select("file_name", preprocess_speech(F.col("text")).alias("tokens")))
     final = PH.apply_phrases(toks, PH.phrase_scores(toks), "file_name")
-    final = materialize(final.withColumn("tokens", exclude_words(F.col("tokens")))
-                        .repartition("file_name").sortWithinPartitions("file_name"))
+    final = materialize(R.fixed_order(final.withColumn("tokens", exclude_words(F.col("tokens"))), "file_name"))
     vocab = V.dictionary(final, "file_name")
     vectors, terms = LDA.vectorize(final, vocab)
-    vectors = materialize(vectors.select("file_name", "date", "features"))
+    vectors = materialize(vectors.select("file_name", "features"))
     model = LDA.fit_lda(vectors, k=k)
     words = LDA.topic_terms(model, terms, 100)
     theta = LDA.doc_topics(model, vectors, "file_name")
     kw10 = words.where(F.col("rank") <= 10).groupBy("topic").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))),
-                                 lambda x: x["term"]), ", ").alias("Keywords"))
-    dominant = TT.dominant_topic(theta, "file_name", kw10)
-    export = TT.doc_topic_export(theta, "file_name").join(vectors.select("file_name", "date"), "file_name")
+                                 lambda x: x["term"]), ", ").alias("keywords"))
+    dominant = TT.dominant_table(sample, theta, kw10)
+    export = TT.export_table(sample, theta)
     coherence = CO.coherence_cv(final, words, "file_name")
     sinks.write_topic_text(TT.keyword_string(words, n_words=100, fixed=True), f"{out_dir}/topics_text")
-    sinks.write_csv(dominant, f"{out_dir}/dominant_topic")
-    sinks.write_csv(export, f"{out_dir}/topic_proportions")
+    sinks.write_csv(dominant, f"{out_dir}/dominant_topic", order_by=("Document_No",))
+    sinks.write_csv(export, f"{out_dir}/topic_proportions", order_by=("Document", "Topic"))
     return {"dominant": dominant, "proportions": export, "coherence": coherence, "topics": words}
 
 
@@ -88,6 +98,6 @@ def topic_summary_job(spark: SparkSession, dump_folder: str, out_dir: str) -> di
     parsed = materialize(D.parse_any(D.dump_lines(dumps)))
     categorized = TT.categorize(parsed, dumps)
     long = TT.long_proportions(parsed, dumps)
-    sinks.write_csv(categorized, f"{out_dir}/categorized_documents", single_file=True)
-    sinks.write_csv(long, f"{out_dir}/topic_proportions", single_file=True)
+    sinks.write_csv(categorized, f"{out_dir}/categorized_documents", order_by=("Document",))
+    sinks.write_csv(long, f"{out_dir}/topic_proportions", order_by=("Document", "Topic"))
     return {"categorized": categorized, "long": long}

@@ -9,37 +9,37 @@ from .catalog import query
 
 
 def _rows_ctes() -> str:
-    return f"""{derived.filings_sql()}, {derived.manifest_sql()}, {derived.mapping_sql()}, {derived.archive_sql()},
+    return f"""{derived.manifest_sql()}, {derived.mapping_sql()}, {derived.archive_listing_sql()},
 m AS (SELECT fname AS path FROM manifest),
 hits AS (SELECT * FROM mapping WHERE fname IN (SELECT DISTINCT path FROM m)),
-resolved AS (SELECT m.path, hits.wrdsfname FROM m LEFT JOIN hits ON m.path = hits.fname),
+resolved AS (SELECT m.path, hits.archive_path FROM m LEFT JOIN hits ON m.path = hits.fname),
 rows AS (
-  SELECT r.path, r.wrdsfname,
-    CASE WHEN r.wrdsfname IS NULL THEN 'NO MATCH' WHEN a.wrdsfname IS NULL THEN 'MISSING'
-         WHEN a.raw IS NULL THEN 'FAILED' ELSE 'OK' END AS outcome
-  FROM resolved r LEFT JOIN archive a ON r.wrdsfname = a.wrdsfname)"""
+  SELECT r.path, r.archive_path,
+    CASE WHEN r.archive_path IS NULL THEN 'NO MATCH' WHEN a.archive_path IS NULL THEN 'MISSING'
+         WHEN a.error IS NOT NULL THEN 'FAILED' ELSE 'OK' END AS outcome
+  FROM resolved r LEFT JOIN archive_listing a ON r.archive_path = a.archive_path)"""
 
 
 def _rows_sql() -> str:
     return f"""WITH {_rows_ctes()}
-SELECT path, wrdsfname, outcome,
-  CASE WHEN outcome = 'OK' THEN {clean_output_name_sql('wrdsfname')} END AS out_name FROM rows"""
+SELECT path, archive_path, outcome,
+  CASE WHEN outcome = 'OK' THEN {clean_output_name_sql('archive_path')} END AS out_name FROM rows"""
 
 
 def _rows_df(spark, sf_dir):
     man = M.normalize_manifest(derived.manifest(spark, sf_dir))
     res = M.resolve(man, derived.mapping(spark, sf_dir))
-    return M.outcomes(res, derived.archive(spark, sf_dir))
+    return M.outcomes(res, derived.archive_listing(spark, sf_dir))
 
 
-@query("filing_outcomes", ("S1", "S2", "J8", "J9", "J11", "S6"), _rows_sql)
+@query("filing_outcomes", ("S2", "J8", "J9", "J11", "S6"), _rows_sql)
 def filing_outcomes(spark, sf_dir):
     return _rows_df(spark, sf_dir)
 
 
 def _counts_sql() -> str:
     return f"""WITH {_rows_ctes()},
-named AS (SELECT outcome, CASE WHEN outcome = 'OK' THEN {clean_output_name_sql('wrdsfname')} END AS out_name
+named AS (SELECT outcome, CASE WHEN outcome = 'OK' THEN {clean_output_name_sql('archive_path')} END AS out_name
           FROM rows)
 SELECT outcome, count(*) AS rows, count(DISTINCT out_name) AS files FROM named GROUP BY outcome"""
 
