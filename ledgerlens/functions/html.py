@@ -11,13 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .regexkit import (HWS, WS, Guard, Lit, Re, apply_chain, chain_sql, py_strip, py_strip_sql,
-                       sql_str)
+                       let, sql_str)
+from .entities import unescape, unknown_reference
 
 UWS = WS
 # Line boundaries that Python's ``str.splitlines`` recognises besides "\n".
 LINE_BREAKS = r"[\x{0B}\f\r\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 
-# FIXED VALUES: named and numeric entities decoded by the column chain.
+# FIXED VALUES: the references that nearly all pages keep to, decoded by a chain
+# of plain replacements; texts with any other take ``entities.unescape``.
 # "&amp;" is decoded last so that "&amp;lt;" yields "&lt;" (single pass).
 ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
@@ -57,11 +59,13 @@ H1_TAG_STEPS = (Guard("<", (
 H1_STEPS = ENTITY_STEPS + H1_TAG_STEPS + N1_STEPS + N2_STEPS + N3_STEPS + N4_STEPS
 
 # H2: flat cleaner. Tags first, entities after, every whitespace run -> one space.
-H2_STEPS = (Guard("<", (
+H2_TAG_STEPS = (Guard("<", (
     Re("(?is)<script.*?>.*?</script>", " "),
     Re("(?is)<style.*?>.*?</style>", " "),
     Re("<[^>]+>", " "),
-)),) + ENTITY_STEPS + (Lit("\u0000", " "), Re(UWS + "+", " "))
+)),)
+H2_TIDY_STEPS = (Lit("\u0000", " "), Re(UWS + "+", " "))
+H2_STEPS = H2_TAG_STEPS + ENTITY_STEPS + H2_TIDY_STEPS
 
 # Boilerplate strip; N6: numbers and amounts.
 N5_STEPS = (
@@ -73,13 +77,18 @@ N5_STEPS = (
 N6_STEPS = (Re(r"\$?[0-9][0-9,.%]*", " "),)
 
 
+UNKNOWN_REFERENCE = unknown_reference(tuple(a for a, _ in ENTITIES))
+
+
 def decode_entities(col: Column) -> Column:
-    return apply_chain(col, ENTITY_STEPS)
+    """All character references: by the short chain where that knows them all, else in full."""
+    return let(col, lambda v: F.when(~v.contains("&"), v)
+               .when(v.rlike(UNKNOWN_REFERENCE), unescape(v)).otherwise(apply_chain(v, ENTITY_STEPS)))
 
 
 def html_to_text(col: Column) -> Column:
     """H1 + N1-N4: decode, drop non-text elements, newline at block ends, tidy lines."""
-    return py_strip(apply_chain(col, H1_STEPS))
+    return py_strip(apply_chain(decode_entities(col), H1_STEPS[len(ENTITY_STEPS):]))
 
 
 def html_to_text_sql(expr: str) -> str:
@@ -88,7 +97,7 @@ def html_to_text_sql(expr: str) -> str:
 
 def html_flat(col: Column) -> Column:
     """H2: tags to spaces, decode entities, collapse all whitespace."""
-    return py_strip(apply_chain(col, H2_STEPS))
+    return py_strip(apply_chain(decode_entities(apply_chain(col, H2_TAG_STEPS)), H2_TIDY_STEPS))
 
 
 def html_flat_sql(expr: str) -> str:

@@ -21,6 +21,7 @@ from ..functions import edgar as E
 from ..functions import lexicons as L
 from ..functions.html import html_to_text
 from ..functions.regexkit import let, py_strip
+from ..session import write_once
 
 
 def clean_body(body: Column) -> Column:
@@ -120,9 +121,11 @@ def submission_blocks(filings: DataFrame, raw_col: str = "raw", source_col: str
 def preferred_blocks(blocks: DataFrame, preferred=L.PREFERRED_TYPES) -> DataFrame:
     """Keep preferred types if any occurs anywhere in the input, else keep all.
 
-    The corpus-wide flag is an uncorrelated scalar subquery (one boolean,
-    computed by a partial + final aggregate), not a join.
+    The blocks are written once, so the submissions are parsed once: the
+    corpus-wide flag reads the type column alone. It is an uncorrelated scalar
+    subquery (one boolean, a partial and a final aggregate), not a join.
     """
+    blocks = write_once(blocks, "blocks")
     is_pref = F.col("doc_type").isin(*preferred)
     any_pref = blocks.agg(F.coalesce(F.max(is_pref), F.lit(False))).scalar()
     return blocks.where(is_pref | ~any_pref)

@@ -89,3 +89,39 @@ def test_dates(spark):
     df = spark.createDataFrame(rows, "t string, want string")
     for r in df.select(T.extract_date(F.col("t")).alias("got"), "want").collect():
         assert r.got == r.want
+
+
+def test_entities_against_the_standard_library(spark):
+    """Every public name, with and without its semicolon, numbers of every kind, and what is no reference."""
+    import html
+    from html.entities import html5
+
+    from ledgerlens.functions.html import decode_entities
+    texts = [f"a &{n} b&{n}c" for n in html5] + [f"a&{n.rstrip(';')}9;" for n in html5]
+    numbers = [*range(0, 300), 8211, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFE,
+               0x10FFFD, 0x10FFFF, 0x110000, 10**9, 10**15]
+    texts += [t for n in numbers for t in (f"x&#{n};y", f"x&#{n} y", f"x&#x{n:x};y", f"&#X{n:X}g", f"&#0000000000{n};")]
+    texts += ["&", "&;", "&#;", "&#x;", "&# 8;", "&&amp;&lt", "AT&T R&D &amp;amp; &amp;#8226;", "&a" * 20, "&" + "x" * 40 + ";", "no reference", "", "&lt;p&gt;&#39;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.d for r in df.select("i", decode_entities(F.col("t")).alias("d")).collect()}
+    bad = [(t, got[i], html.unescape(t)) for i, t in enumerate(texts) if got[i] != html.unescape(t)]
+    assert not bad, bad[:5]
+
+
+def test_html_flat_decodes_in_full(spark):
+    from ledgerlens.functions.html import html_flat, html_to_text
+    df = spark.createDataFrame([("<p>a &#8226; b&#146;s</p><p>caf&eacute; &euro;5&nbsp;&mdash; &amp;eacute;</p>",)], "t string")
+    r = df.select(html_flat(F.col("t")).alias("flat"), html_to_text(F.col("t")).alias("text")).first()
+    assert r.flat == "a \u2022 b\u2019s caf\u00e9 \u20ac5 \u2014 &eacute;"
+    assert r.text == "a \u2022 b\u2019s\n caf\u00e9 \u20ac5\u00a0\u2014 &eacute;"
+
+
+def test_phrases_in_a_document_of_a_million_tokens(spark):
+    import time
+    n = 1_000_000
+    docs = spark.range(1).select(F.col("id").alias("k"), F.transform(
+        F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i % 3 == 0, "a").when(i % 3 == 1, "b").otherwise("c")).alias("tokens"))
+    t = time.time()
+    r = PH.apply_phrases(docs, spark.createDataFrame([("b_c",)], "phrase string"), "k").select(
+        F.size("tokens").alias("n"), F.slice("tokens", 1, 3).alias("head")).first()
+    assert r.head == ["b_c", "a", "b_c"] and r.n == n - n // 3 and time.time() - t < 60
