@@ -1,9 +1,12 @@
 """Registry of named queries: a Spark builder and (when SQL can say it) an oracle.
 
-Each Spark builder takes ``(spark, sf_dir)`` and returns a lazy DataFrame over
-the whole driver tables. Each oracle is DuckDB SQL over the same tables,
-written independently from the same fixed values. Computed columns carry the
-same aliases on both sides.
+Each Spark builder takes ``(spark, sf_dir)`` and returns a DataFrame over the
+whole driver tables; builders that write intermediate tables or fit a model
+run those steps when they are called. Each oracle is DuckDB SQL over the same
+tables. Joins, aggregates and folds are written independently; the text rules
+(H, N, E) are rendered from the same step lists and patterns as the Spark
+side, so the unit tests hold those against hand-written values and the
+standard library. Computed columns carry the same aliases on both sides.
 """
 
 from __future__ import annotations

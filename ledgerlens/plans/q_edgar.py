@@ -136,7 +136,7 @@ def _submission_blocks_df(spark, sf_dir):
     return FL.submission_blocks(fl)
 
 
-@query("submission_blocks", ("S3", "E3", "E5", "E10"), _submission_blocks_sql)
+@query("submission_blocks", ("E3", "E5", "E10"), _submission_blocks_sql)
 def submission_blocks(spark, sf_dir):
     b = _submission_blocks_df(spark, sf_dir)
     return b.select("source_file", F.col("seq").cast("bigint").alias("seq"), "doc_type", "doc_filename",

@@ -161,7 +161,7 @@ def _dump_terms_sql() -> str:
     return f"WITH {_parsed_ctes()}\nSELECT file, topic, rank, term, weight FROM parsed"
 
 
-@query("dump_terms", ("S5", "P3", "P4", "P5", "J3"), _dump_terms_sql)
+@query("dump_terms", ("P3", "P4", "P5", "J3"), _dump_terms_sql)
 def dump_terms(spark, sf_dir):
     _, parsed = _parsed_df(spark, sf_dir)
     return parsed.select("file", F.col("topic").cast("int").alias("topic"), "rank", "term", "weight")
@@ -219,7 +219,7 @@ SELECT f.document AS "Document", f.file AS "FileName", {extract_date_sql('f.text
 FROM mw JOIN names n ON mw.file = n.file AND mw.topic = n.topic JOIN files f ON f.file = mw.file"""
 
 
-@query("long_proportions", ("P10", "S5", "N14"), _long_sql)
+@query("long_proportions", ("P10", "N14"), _long_sql)
 def long_proportions(spark, sf_dir):
     dumps, parsed = _parsed_df(spark, sf_dir)
     r = TT.long_proportions(parsed, dumps)
