@@ -1,8 +1,8 @@
 """Mixing sources to target weights: tempered shares, realised as budgeted block permutations.
 
 1. Tokens (words) per source, counted map-side.
-2. Weights are the token shares to the power of an exponent between 0 (equal
-   weights) and 1 (as they are), normalised. The exponent is bisected until
+2. Weights are the token shares to the power of an exponent (0: equal weights,
+   1: as they are), normalised. The exponent is bisected until
    the mix has the target entropy (as a share of the largest possible), or
    until the most repeated source is repeated ``max_repeat`` times: the
    flattest mix within both limits. One Spark job evaluates the 63 inner
@@ -63,31 +63,47 @@ def _mixes(totals: DataFrame, points: list[float]) -> dict[float, tuple[float, f
     out = {}
     for r in agg.collect():  # a row a point
         entropy = (math.log(r["z"]) - r["wl"] / r["z"]) / math.log(r["k"]) if r["k"] > 1 else 1.0
-        out[r["e"]] = (entropy, r["most"] / r["least"])
+        out[r["e"]] = (entropy, r["most"] / r["least"] if r["least"] else math.inf)
     return out
 
 
-def bisect_exponent(totals: DataFrame, target_entropy: float | None, max_repeat: float | None, rounds: int = 5) -> float:
-    """The least exponent in [0, 1] whose mix has at most the target entropy and repeats no source more than max_repeat times.
-
-    Entropy and repeats both fall as the exponent rises, so this is a bisection of one condition.
-    """
-    def fits(m: tuple[float, float] | None) -> bool:
-        return m is None or ((target_entropy is None or m[0] <= target_entropy) and (max_repeat is None or m[1] <= max_repeat))
-
-    lo, hi = 0.0, 1.0
-    ends = _mixes(totals, [0.0])
-    if fits(ends.get(0.0)):
-        return 0.0
+def _bisect(totals: DataFrame, holds, lo: float, hi: float, rounds: int) -> tuple[float, float]:
+    """(a, b) close together in [lo, hi]: ``holds`` not at a, at b. It must hold from some exponent on, at hi at the latest."""
     for _ in range(rounds):
         points = [lo + (hi - lo) * i / (1 << _STEPS) for i in range(1, 1 << _STEPS)]
         found = _mixes(totals, points)
-        for p in points:  # bisection over them: the condition is monotone
-            if fits(found.get(p)):
+        for p in points:
+            if holds(found[p]):
                 hi = p
                 break
             lo = p
-    return hi
+    return lo, hi
+
+
+#: The sharpest mix: all but the largest source are next to nothing.
+_MOST = 16.0
+
+
+def bisect_exponent(totals: DataFrame, target_entropy: float | None, max_repeat: float | None, rounds: int = 5) -> float:
+    """The least exponent whose mix has at most the target entropy and repeats no source more than max_repeat times.
+
+    Entropy falls as the exponent rises, and repeats fall to one at the
+    exponent one, so up to there both are one condition to bisect. An entropy
+    below that of the shares themselves needs an exponent above one, where
+    repeats rise again; the repetition limit wins.
+    """
+    def fits(m: tuple[float, float]) -> bool:
+        return (target_entropy is None or m[0] <= target_entropy) and (max_repeat is None or m[1] <= max_repeat)
+
+    ends = _mixes(totals, [0.0, 1.0, _MOST])
+    if not ends or fits(ends[0.0]):
+        return 0.0
+    if target_entropy is None or ends[1.0][0] <= target_entropy:
+        return _bisect(totals, fits, 0.0, 1.0, rounds)[1]
+    e = _bisect(totals, lambda m: m[0] <= target_entropy, 1.0, _MOST, rounds)[1]
+    if max_repeat is not None and ends[_MOST][1] > max_repeat:
+        e = min(e, _bisect(totals, lambda m: m[1] > max_repeat, 1.0, _MOST, rounds)[0])
+    return e
 
 
 def weights(totals: DataFrame, exponent: float, budget_tokens: int | None) -> DataFrame:
