@@ -23,8 +23,9 @@ def test_entry(spark):
     assert len(df.collect()) > 0
 
 
-def test_every_query_builds(spark):
+def test_every_other_query_builds(spark):
+    from ledgerlens.plans import catalog
     from tests.conftest import SF001
-    for name, fn in queries().items():
-        df = fn(spark, SF001)
+    for name in sorted(set(catalog.queries()) - set(ORACLES)):
+        df = queries()[name](spark, SF001)
         assert df.columns, name
