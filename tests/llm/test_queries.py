@@ -3,18 +3,15 @@
 import hashlib
 from collections import Counter
 
-import pytest
-
 from ledgerlens.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import SF01
 from tests.llm import brute
-from tests.oracle_harness import compare
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
-def test_oracle(name, spark, duck):
-    ok, msg = compare(QUERIES[name](spark, SF01), duck, ORACLE_SQL[name])
-    assert ok, msg
+def test_every_query_is_held_against_something():
+    """test_oracles.py runs those with SQL; the others are below, the pipeline in test_edges.py."""
+    assert set(ORACLE_SQL) == {"op1_url_filters", "op6_quality_rules", "op10_exact_dedup"}
+    assert len(QUERIES) == 10
 
 
 def test_packing(spark, pairs):
