@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release_shuffles, text_of, written
-from .tokenizer import VOCABULARY, load, pre_tokens
+from .tokenizer import VOCABULARY, pieces, pre_tokens
 
 #: A task hands its counts on when it holds this many distinct pre-tokens.
 FLUSH = 400_000
@@ -53,10 +53,10 @@ def pre_token_table(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         yield out()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load(vocabulary)
+        encode_one = pieces(vocabulary).encode
         for b in batches:
-            found = tok.encode_batch_fast(b.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(e) for e in found], pa.int64())], names=["unit", "n", "pieces"])
+            found = [len(encode_one(u)) for u in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], names=["unit", "n", "pieces"])
 
     units = docs.select(text_of().alias("text")).mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     return written(units.mapInArrow(encode, "unit string, n long, pieces long"), "units")
@@ -74,10 +74,10 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 204
     del top
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, row, schema = known.value, TaskContext.get().partitionId() << 40, pa.schema(
+        row, schema = TaskContext.get().partitionId() << 40, pa.schema(
             [("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_head", pa.int64()),
              ("units", pa.list_(pa.string())), ("freqs", pa.list_(pa.int64()))])
-        get = pieces.get
+        get = known.value.get
         for b in batches:
             rows, heads, sizes, units, freqs = [], [], [], [], []
             for text in b.column(1).to_pylist():

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 #: Default vocabulary file; resolved on the machine that encodes.
 VOCABULARY = "word_bpe_49k.json"
@@ -57,20 +58,43 @@ def load(vocabulary: str = VOCABULARY):
     return _loaded[vocabulary]
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The characters that byte-level models write bytes as: printable Latin-1 as it is, the others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in shown)
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Pieces(dict):
-    """pre-token -> its ids as little-endian unsigned 16-bit bytes; emptied when ``limit`` is reached."""
+    """pre-token -> its ids as little-endian unsigned 16-bit bytes.
+
+    Holds two generations of at most ``limit`` entries: when the younger is
+    full it becomes the older, so what is used goes on being known.
+    """
 
     def __init__(self, vocabulary: str = VOCABULARY, limit: int = 400_000):
         super().__init__()
-        self.tok, self.limit = load(vocabulary), limit
+        self.tok, self.limit, self.older = load(vocabulary), limit, {}
+        self.model, self.alphabet = self.tok.model, _byte_alphabet()
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
 
+    def encode(self, unit: str) -> list[int]:
+        """The unit's ids. A plain one is normalised and split already, so the library's model alone is asked."""
+        if _PLAIN.fullmatch(unit):
+            shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.alphabet)
+            return [t.id for t in self.model.tokenize(shown)]
+        return self.tok.encode(unit, add_special_tokens=False).ids
+
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        ids = self.tok.encode(unit, add_special_tokens=False).ids
-        self[unit] = out = b"".join(i.to_bytes(2, "little") for i in ids)
+        out = self.older.get(unit)
+        if out is None:
+            ids = self.encode(unit)
+            out = struct.pack(f"<{len(ids)}H", *ids)
+        self[unit] = out
         return out
 
     def ids(self, text: str) -> bytes:
