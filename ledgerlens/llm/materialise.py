@@ -15,7 +15,8 @@ number 10, two bytes that Spark's text sink writes as its line separator. So
 every file is an array of 16-bit numbers of the shape (records, length + 1),
 slot k is record k % per_shard of shard k // per_shard, and a reader resumes
 at any slot by a seek. Spark's own committer writes the files, so lost tasks
-leave nothing behind and any file system that Spark knows will do.
+leave nothing behind and any file system that Spark knows will do. On their
+way there sequences are compressed one by one.
 
 A task holds one record batch at a time; no group is gathered.
 
@@ -33,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,19 +90,20 @@ class Shards:
 
 
 def cut_sequences(docs: DataFrame, length: int, vocabulary: str = VOCABULARY) -> DataFrame:
-    """task, i, ids (16 bits each), n_ids (without filling), docs: one written row a sequence."""
+    """task, i, ids (16 bits each, compressed), n_ids (without filling), docs: one written row a sequence."""
     span = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64())]))
     schema = pa.schema([("task", pa.int32()), ("i", pa.int64()), ("ids", pa.binary()), ("n_ids", pa.int64()), ("docs", span)])
     end = END.to_bytes(2, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, task, i = pieces(vocabulary), TaskContext.get().partitionId(), 0
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=True).compress
         held, room, spans = [], length, []
         rows: list[list] = [[] for _ in schema]
 
         def close(n: int) -> None:
             nonlocal i, held, room, spans
-            for c, v in zip(rows, (task, i, b"".join(held) + end * (length - n), n, spans), strict=True):
+            for c, v in zip(rows, (task, i, pack(b"".join(held) + end * (length - n)), n, spans), strict=True):
                 c.append(v)
             i, held, room, spans = i + 1, [], length, []
 
@@ -148,10 +151,19 @@ def materialise(docs: DataFrame, path: str, length: int = 2048, per_shard: int =
     def with_slots(col: str, kind: str) -> DataFrame:
         return sequences.select("task", "i", col).mapInArrow(slots, f"slot long, {col} {kind}")
 
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                s = b.slice(at, 1000)
+                ids = [ids_of(x.as_buffer()) for x in s.column("ids")]
+                yield pa.RecordBatch.from_arrays([s.column("shard"), s.column("slot"), pa.array(ids, pa.binary())], names=["shard", "slot", "ids"])
+
     shards = -(-n // per_shard)
     if n:
         placed = with_slots("ids", "binary").withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-        (placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot")
+        (placed.repartitionById(shards, F.col("shard")).mapInArrow(unpack, "shard int, slot long, ids binary")
+         .sortWithinPartitions("shard", "slot")
          .select("shard", F.col("ids").cast("string").alias("value"))
          .write.partitionBy("shard").option("lineSep", "\n\0").option("compression", "none").text(path))
         release_shuffles(spark)
