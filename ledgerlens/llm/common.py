@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,14 +54,18 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
+def release_shuffles(spark: SparkSession, settle_s: float = 0.0) -> None:
     """Let Spark's cleaner delete the shuffle files of finished steps.
 
     They go when the driver collects the objects that stand for them, which a
-    driver with a large heap may not do for hours.
+    driver with a large heap may not do for hours. Python's own references are
+    handed back a little later; ``settle_s`` waits for that, where the files
+    are large.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for wait in (settle_s, settle_s) if settle_s else (0.0,):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -13,6 +13,8 @@ holds about ``bucket_windows`` windows. Of a hash that recurs within a slice
 of a task only its first place enters the bucket; the others are known to be
 repeated and travel apart, dealt out evenly. So a window that fills a third
 of the corpus is one entry a slice. Windows are compared by 64-bit hashes.
+What is repeated goes back by documents, again many to a row, as many parts
+as there are buckets.
 
 Order of places: doc_id, nulls last, then the text's hash, then the start.
 Rows that repeat doc_id and text are one document and get the same result.
@@ -35,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, discard, doc_key, release_shuffles, text_of, written
+from .common import LAST_ID, doc_key, release_shuffles, text_of, written
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Windows of a task that are hashed and dealt out at once.
-_SLICE = 1 << 21
+_SLICE = 1 << 19
 
 
 class _WordHashes(dict):
@@ -124,7 +126,7 @@ def _starts(doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> pa.RecordBat
 
 
 def repeated_starts(docs: DataFrame, width: int = 20, bucket_windows: int = 1 << 21) -> DataFrame:
-    """doc, key, starts: the windows that also start earlier, as 32-bit starts; several rows a document."""
+    """doc, key, starts: the windows of a document that also start earlier, as sorted 32-bit starts; one row a document."""
     spark = docs.sparkSession
     body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), doc_key().alias("key"), text_of().alias("text"))
     # a word and its white space take two bytes or more, six or so in prose; only the buckets' size depends on it
@@ -181,10 +183,21 @@ def repeated_starts(docs: DataFrame, width: int = 20, bucket_windows: int = 1 <<
         if bucket[0].as_py() < buckets:
             at = np.flatnonzero(_later(h, doc, key, start))
             doc, key, start = doc[at], key[at], start[at]
-        return pa.Table.from_batches([_starts(doc, key, start)])
+        # back to the documents: a row for each part of them, so many as there are buckets
+        order = np.lexsort((start, key, doc))
+        doc, key, start = doc[order], key[order], start[order]
+        part = ((key.view(np.uint64) * _MIX >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        parts = np.unique(part)
+        blobs = [_pack(h[:0], doc[part == p], key[part == p], start[part == p]) for p in parts]
+        return pa.table({"part": pa.array(parts, pa.int32()), "windows": pa.array(blobs, pa.binary())})
+
+    def gather(part, rows):
+        found = [_unpack(x.as_buffer())[1:] for x in rows.column("windows")]
+        return pa.Table.from_batches([_starts(*(np.concatenate(x) for x in zip(*found, strict=True)))])
 
     dealt = body.mapInArrow(deal, "bucket int, windows binary")
-    return dealt.groupBy("bucket").applyInArrow(judge, "doc long, key long, starts binary")
+    return (dealt.groupBy("bucket").applyInArrow(judge, "part int, windows binary")
+            .groupBy("part").applyInArrow(gather, "doc long, key long, starts binary"))
 
 
 def removal_intervals(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
@@ -200,11 +213,7 @@ def deduplicate_substrings(docs: DataFrame, width: int = 20, bucket_windows: int
     """doc_id, n_words, n_removed, removed (list of [from, to) word intervals), kept_text, kept_sha256 for each row of ``docs``."""
     spark = docs.sparkSession
     found = written(repeated_starts(docs, width, bucket_windows), "repeats")
-    release_shuffles(spark)
-    # a document's pieces together: at most four bytes a word of it
-    merged = written(found.groupBy("doc", "key").agg(F.collect_list("starts").alias("starts")), "removals")
-    release_shuffles(spark)
-    discard(found)
+    release_shuffles(spark, settle_s=1.0)
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
                        doc_key().alias("key"), text_of().alias("text"))
 
@@ -213,7 +222,7 @@ def deduplicate_substrings(docs: DataFrame, width: int = 20, bucket_windows: int
             cols: list[list] = [[] for _ in range(5)]
             for text, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
-                spans = removal_intervals(np.concatenate([np.frombuffer(x, "<u4") for x in starts]), width) if starts else []
+                spans = removal_intervals(np.frombuffer(starts, "<u4"), width) if starts else []
                 kept, at = [], 0
                 for a, z in spans:
                     kept += words[at:a]
@@ -229,5 +238,5 @@ def deduplicate_substrings(docs: DataFrame, width: int = 20, bucket_windows: int
                  pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())],
                 names=["doc_id", "n_words", "n_removed", "removed", "kept_text", "kept_sha256"])
 
-    joined = body.join(merged, ["doc", "key"], "left").select("doc_id", "text", "starts")
+    joined = body.join(found, ["doc", "key"], "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, removed array<struct<from:long,to:long>>, kept_text string, kept_sha256 string")
