@@ -10,8 +10,8 @@ no digest decides it.
 
 A round counts its groups with map-side aggregation (a group of a third of all
 rows costs one row a task), writes the groups of two or more, and joins them
-back to the documents: broadcast behind a check of the size, otherwise as a
-shuffle join of two exchanges, whose hot keys AQE splits. No group is ever
+back to the documents: a shuffle join of two exchanges, whose hot keys AQE
+splits; in the first round a broadcast where the checked size allows it. No group is ever
 gathered. Only the documents that are still in a group carry text into the
 next round's table.
 
@@ -48,8 +48,10 @@ def exact_groups(docs: DataFrame, first_digit: int = 64, max_digit: int = 1 << 2
         groups = written(
             now.groupBy("grp", "digit").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("keep_id"))
             .where("size > 1").withColumn("next", F.monotonically_increasing_id()), "radix-groups")
-        # a row of it has at most the digit and five numbers
-        split = now.join(small(groups, BROADCAST_BYTES // (digit + 64)), ["grp", "digit"], "left")
+        # a row of it has at most the digit and five numbers: narrow in the first round, which
+        # has all the text, and not in later ones, which have the text of what is left
+        few = small(groups, BROADCAST_BYTES // (digit + 64)) if not done else groups
+        split = now.join(few, ["grp", "digit"], "left")
         ended = F.length("digit") < digit
         open_ = F.col("size").isNotNull() & ~ended
         step = written(split.select(
