@@ -134,9 +134,11 @@ def test_tile_links_form_a_spanning_forest():
 
 
 def test_components(spark):
-    chain = [(i, i + 1) for i in range(200)] + [(1000, x) for x in range(1001, 1100)] + [(-5, -3), (7000, 7000)]
-    got = dict(tuple(r) for r in graph.components(spark.createDataFrame(chain, "u long, v long")).collect())
-    assert all(got[i] == 0 for i in range(201)) and all(got[i] == 1000 for i in range(1000, 1100)) and got[-3] == -5
+    chain = [(i, i + 1) for i in range(40)] + [(1000, x) for x in range(1001, 1100)] + [(-5, -3), (7000, 7000)]
+    for one_task in (graph.ONE_TASK, 0):
+        got = dict(tuple(r) for r in graph.components(spark.createDataFrame(chain, "u long, v long"), one_task).collect())
+        assert all(got[i] == 0 for i in range(41)) and all(got[i] == 1000 for i in range(1000, 1100)) and got[-3] == -5
+        assert len(got) == 143 and graph.components(spark.createDataFrame([], "u long, v long"), one_task).count() == 0
 
 
 def test_token_counts(awkward, awkward_pairs, no_docs):
