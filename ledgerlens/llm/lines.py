@@ -9,13 +9,17 @@ one rank share that many lines - an interval of the suffix array whose longest
 common prefix is at least the depth - and a rank held once is dropped at once,
 as no longer run repeats from there.
 
-A run counts as repeated when it has at least ``min_words`` words. So from
-each line on, the shortest run with that many words is looked up in the
-intervals of its length (by the two overlapping ranks that cover it); if it
-also starts earlier, its lines are a later copy. Longer repeated runs are
-unions of such runs, so the doubling ends at the depth that they need, and
-merged they are the maximal repeated runs, of which all copies but the first
-are deleted.
+A run counts as repeated when it has at least ``min_words`` words. Every such
+run is a union of its shortest parts with that many words: those that no line
+can leave at the end (the shortest from a line on) and those that no line can
+leave at the start (the shortest up to a line). A line with ``min_words`` words
+from it to the run's end is in the first kind's part that starts there; any
+other is within the second kind's part that ends where the run does. So both
+kinds are looked up in the intervals of their length (by the two overlapping
+ranks that cover them); if one also starts earlier, its lines are a later copy,
+and all of them merged are all lines of all maximal repeated runs, of which all
+copies but the first are deleted. No such part has more than ``min_words``
+lines, which is the depth that the doubling needs.
 
 Places are ordered by doc_id (nulls last), text hash and line, so a copy
 inside its own document counts too. All counts of ids and pairs are
@@ -32,7 +36,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -46,21 +49,28 @@ from .common import LAST_ID, discard, doc_key, release_shuffles, small, text_of,
 _SPACES = " \t\n\x0b\x0c\r"
 
 
-def shortest_runs(words: list[int], least: int) -> list[int]:
-    """For each line the number of lines, from it on, that have ``least`` words; 0 when the text ends before."""
-    out, end, total = [], 0, 0
+def shortest_runs(words: list[int], least: int) -> tuple[list[int], list[int]]:
+    """For each line the lengths, from and to, of the runs from it on that have ``least`` words and lose them without their last or their first line.
+
+    The first is the shortest run from that line on (0: the text ends before), the others end where no later start has as many words.
+    """
+    need, most, end, total = [], [], 0, 0
     for i in range(len(words)):
         while total < least and end < len(words):
             total += words[end]
             end += 1
-        out.append(end - i if total >= least else 0)
+        need.append(end - i if total >= least else 0)
         total -= words[i]
-    return out
+    # the longest run from i on whose other lines have under ``least`` words ends before the shortest run from i + 1 on does
+    for i, n in enumerate(need):
+        last = len(words) - i if i + 1 == len(words) or not need[i + 1] else need[i + 1]
+        most.append(max(n, last) if n else 0)
+    return need, most
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc, key, i, id, need: one row a line with a word; need is the length of its shortest run; written."""
-    schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("i", pa.int32()), ("id", pa.binary()), ("need", pa.int32())])
+    """doc, key, i, id, need, most: one row a line with a word; need to most are the lengths of its ``shortest_runs``; written."""
+    schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("i", pa.int32()), ("id", pa.binary()), ("need", pa.int32()), ("most", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,7 +79,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
                 lines = [x for x in (y.strip(_SPACES).encode("utf-8", "surrogatepass") for y in text.split("\n")) if x]
                 n = len(lines)
                 values = ([doc] * n, [key] * n, range(n), [hashlib.blake2b(x, digest_size=16).digest() for x in lines],
-                          shortest_runs([len(x.split()) for x in lines], min_words))
+                          *shortest_runs([len(x.split()) for x in lines], min_words))
                 for c, v in zip(cols, values, strict=True):
                     c.extend(v)
                 if len(cols[0]) >= 100_000:
@@ -78,7 +88,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), doc_key().alias("key"), text_of().alias("text"))
-    return written(body.mapInArrow(run, "doc long, key long, i int, id binary, need int"), "lines")
+    return written(body.mapInArrow(run, "doc long, key long, i int, id binary, need int, most int"), "lines")
 
 
 def _place() -> Column:
@@ -98,14 +108,14 @@ def _ranks(keys: DataFrame, by: list[str], rank: str) -> DataFrame:
 
 
 def later_runs(docs: DataFrame, min_words: int = 6) -> DataFrame:
-    """doc, key, i, need: the shortest runs (lines i to i + need) that also start at an earlier place."""
+    """doc, key, i, need: the shortest runs, from a line on or up to one (lines i to i + need), that also start at an earlier place."""
     spark = docs.sparkSession
     lines = line_table(docs, min_words)
     rank = _ranks(lines.select("id"), ["id"], "r0")
-    now = written(lines.join(small(rank), "id").select("doc", "key", "i", "need", "r0"), "depth1")
+    now = written(lines.join(small(rank), "id").select("doc", "key", "i", "need", "most", "r0"), "depth1")
     discard(lines, rank)
     release_shuffles(spark)
-    longest = now.agg(F.max("need")).first()[0] or 0
+    longest = now.agg(F.max("most")).first()[0] or 0
     depth, level = 1, 0
     while 2 * depth <= longest:
         r, nxt = f"r{level}", f"r{level + 1}"
@@ -115,20 +125,16 @@ def later_runs(docs: DataFrame, min_words: int = 6) -> DataFrame:
         discard(now, pair, rank)
         release_shuffles(spark)
         now, depth, level = new, 2 * depth, level + 1
+    if not longest:
+        return now.select("doc", "key", "i", "need").limit(0)
     # a run of n lines is covered by the ranks at depth d <= n < 2d of its first line and of the line n - d on
-    head, tail = [], []
+    cases = []
     for n in range(1, longest + 1):
         k = n.bit_length() - 1
-        head.append((n, F.col(f"r{k}")))
-        tail.append((n, _at(f"r{k}", n - (1 << k))))
-
-    def pick(cases: list[tuple[int, Column]]) -> Column:
-        return reduce(lambda c, x: c.when(F.col("need") == x[0], x[1]), cases[1:], F.when(F.col("need") == cases[0][0], cases[0][1]))
-
-    if not longest:
-        return now.select("doc", "key", "i", "need").limit(0)
-    runs = written(now.select("doc", "key", "i", "need", pick(head).alias("head"), pick(tail).alias("tail"))
-                   .where("head is not null and tail is not null"), "runs")
+        cases.append(F.struct(F.lit(n).alias("need"), F.col(f"r{k}").alias("head"), _at(f"r{k}", n - (1 << k)).alias("tail")))
+    covers = F.filter(F.array(*cases), lambda x: x["need"].between(F.col("need"), F.col("most")) & x["head"].isNotNull() & x["tail"].isNotNull())
+    # the ranges take two runs a line at most on average: one that starts and one that ends there
+    runs = written(now.select("doc", "key", "i", "need", covers.alias("covers")).where("need > 0").select("doc", "key", "i", F.inline("covers")), "runs")
     discard(now)
     first = written(runs.groupBy("need", "head", "tail").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     release_shuffles(spark)

@@ -73,6 +73,26 @@ def line_dedup(docs, least=6):
     return out
 
 
+def maximal_line_runs(docs, least=6):
+    """Numbers of the lines to delete by document: of each line's longest match with an earlier place, all that have ``least`` words."""
+    seqs = [[x.strip(SPACES) for x in (text or "").split("\n") if x.strip(SPACES)] for _, text in places(docs)]
+    starts, out = defaultdict(list), {}
+    for at, (doc, seq) in enumerate(zip(places(docs), seqs)):
+        gone = set()
+        for i, line in enumerate(seq):
+            longest = 0
+            for b, j in starts[line]:
+                n = 0
+                while i + n < len(seq) and j + n < len(seqs[b]) and seq[i + n] == seqs[b][j + n]:
+                    n += 1
+                longest = max(longest, n)
+            if sum(len(words(x)) for x in seq[i:i + longest]) >= least:
+                gone |= set(range(i, i + longest))
+            starts[line].append((at, i))
+        out[doc] = gone
+    return out
+
+
 def fingerprint(text, n=4):
     w = (text or "").encode().translate(LOWER).split()
     if not w:

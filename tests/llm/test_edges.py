@@ -101,6 +101,26 @@ def test_line_runs_of_other_lengths(awkward, awkward_pairs, least):
     assert got == {(d, *want[d, t][:2]) for d, t in awkward_pairs}
 
 
+@pytest.mark.parametrize("least", [2, 6, 11])
+def test_line_runs_are_maximal(spark, least):
+    """Copied blocks go whole, whichever short lines they begin and end in."""
+    rnd = random.Random(11)
+    pool = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.choice((1, 1, 2, 3, 5, 7)))) for _ in range(60)]
+    docs = [(0, "one two three four five six seven\nend"), (1, "new here\none two three four five six seven\nend\nother"),
+            (2, "one two three four five six seven\nend"), (3, "\n".join(["go on", "x"] * 9))]
+    for d in range(4, 90):
+        text = [rnd.choice(pool) for _ in range(rnd.randint(1, 15))]
+        if d % 3:
+            block = rnd.choice(docs)[1].split("\n")
+            a = rnd.randrange(len(block))
+            text[rnd.randint(0, len(text)):0] = block[a:a + rnd.randint(1, 12)]
+        docs.append((d, "\n".join(text)))
+    want = brute.maximal_line_runs(docs, least)
+    got = {r["doc_id"]: {i for x in r["removed"] for i in range(x["from"], x["to"])}
+           for r in lines.line_runs(spark.createDataFrame(docs, "doc_id long, text string"), least).collect()}
+    assert got == {d: gone for (d, _), gone in want.items()}
+
+
 def test_simhash(awkward, awkward_pairs, no_docs):
     assert rows(simhash.near_duplicates(awkward)) == sorted(brute.simhash(awkward_pairs), key=key)
     assert rows(simhash.near_duplicates(awkward, tile=2)) == sorted(brute.simhash(awkward_pairs), key=key)
