@@ -2,19 +2,21 @@
 
 1. Tokenise. Every full window of a document is a sequence of its own, cut out
    in the task that tokenises it; its last part, shorter than a window, is
-   staged as 16-bit ids.
-2. Document frequencies of the token ids over all staged parts: at most one
-   row a vocabulary entry, the bound of what goes to the driver and workers.
-3. Each part is routed by its two most telling terms, and ranges of that order
-   - hot terms split by document - are the shards, of about ``shard_tokens``
-   ids. Parts with the same telling terms meet in a shard.
-4. In a shard an inverted index with the corpus-wide BM25 weights returns the
-   unused neighbours of each seed, best first. They fill the seed's window;
+   staged as 16-bit ids, beside the terms of the whole text with their counts
+   where there is more of it than that part.
+2. Lengths and document frequencies of the token ids over all whole documents:
+   at most one row a vocabulary entry, the bound of what goes to the driver and
+   workers.
+3. Each part is routed by the two most telling terms of its whole document, and
+   ranges of that order - hot terms split by document - are the shards, of about
+   ``shard_tokens`` ids. Parts with the same telling terms meet in a shard.
+4. In a shard an inverted index of the whole documents' terms, with the
+   corpus-wide BM25 weights, returns the unused neighbours of each seed, best first. They fill the seed's window;
    the last is cut at its end and what is left of it is the next seed. Every
    window but the shard's last is full. The last is cut into sequences whose
    lengths are powers of two, which need no padding.
 
-Terms in half of the parts or more have no weight (Robertson's idf is not
+Terms in half of the documents or more have no weight (Robertson's idf is not
 positive there), so they need no postings. Memory in a task: its shard.
 
 Defined results: null text is a document of the end id alone. Texts of any
@@ -41,20 +43,44 @@ from .tokenizer import VOCABULARY, pieces
 END = (1).to_bytes(2, "little")
 K1, BM25_B = 1.2, 0.75
 _TERMS = 1 << 16
+#: (terms, their counts, number of ids) of a whole document.
+Bag = tuple[np.ndarray, np.ndarray, int]
 
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _bag_bytes(ids: np.ndarray) -> bytes:
+    """The terms (16 bits each), then their counts (32 bits each)."""
+    counts = np.bincount(ids)
+    terms = np.flatnonzero(counts)
+    return terms.astype("<u2").tobytes() + counts[terms].astype("<u4").tobytes()
+
+
+def _bag(tail: np.ndarray, bag, n_tokens: int) -> Bag:
+    """``bag`` as written by ``_bag_bytes``; null: the tail is the whole document."""
+    if bag is None:
+        return *np.unique(tail, return_counts=True), len(tail)
+    n = len(bag) // 6
+    return np.frombuffer(bag, "<u2", n), np.frombuffer(bag, "<u4", n, 2 * n), n_tokens
+
+
+def _bags(b: pa.RecordBatch | pa.Table) -> Iterator[Bag]:
+    """The whole documents of the columns tail, bag and n_tokens."""
+    for t, bag, n in zip(b.column("tail"), b.column("bag").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
+        yield _bag(np.frombuffer(t.as_buffer(), "<u2"), bag, n)
+
+
 def tokenised(docs: DataFrame, window: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
-    """row, doc_id, n_tokens, full_crcs, first_sequence, tail (16-bit ids), terms: one written row a document.
+    """row, doc_id, n_tokens, full_crcs, first_sequence, tail (16-bit ids), bag: one written row a document.
 
     ``full_crcs`` has the CRC-32 of each full window, whose sequence ids are
     first_sequence, first_sequence + 2, ...: even ids, unique by task and count.
+    ``bag`` has the terms of the whole document and their counts; null: the tail is the whole document.
     """
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("full_crcs", pa.list_(pa.int64())),
-                        ("first_sequence", pa.int64()), ("tail", pa.binary())])
+                        ("first_sequence", pa.int64()), ("tail", pa.binary()), ("bag", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = pieces(vocabulary)
@@ -66,31 +92,30 @@ def tokenised(docs: DataFrame, window: int = 2048, vocabulary: str = VOCABULARY)
                 ids = np.frombuffer(cache.ids(text) + END, "<u2")
                 n_full = len(ids) // window
                 crcs = [_crc(ids[i * window:(i + 1) * window]) for i in range(n_full)]
-                for c, v in zip(cols, (row, doc, len(ids), crcs, sequence * 2, ids[n_full * window:].tobytes()), strict=True):
+                for c, v in zip(cols, (row, doc, len(ids), crcs, sequence * 2, ids[n_full * window:].tobytes(), _bag_bytes(ids) if n_full else None), strict=True):
                     c.append(v)
                 row += 1
                 sequence += n_full
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        run, "row long, doc_id long, n_tokens long, full_crcs array<long>, first_sequence long, tail binary"), "tokens")
+        run, "row long, doc_id long, n_tokens long, full_crcs array<long>, first_sequence long, tail binary, bag binary"), "tokens")
 
 
-def term_weights(tails: DataFrame) -> tuple[np.ndarray, float]:
-    """(idf by token id, average length) over all rows of ``tails`` (tail)."""
+def term_weights(docs: DataFrame) -> tuple[np.ndarray, float]:
+    """(idf by token id, average length) over all whole documents of ``docs`` (tail, bag, n_tokens)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(_TERMS, np.int64), 0, 0
         for b in batches:
-            for t in b.column(0):
-                ids = np.frombuffer(t.as_buffer(), "<u2")
-                df[np.unique(ids)] += 1
-                n, total = n + 1, total + len(ids)
+            for terms, _, length in _bags(b):
+                df[terms] += 1
+                n, total = n + 1, total + length
         at = np.flatnonzero(df)
-        # -1 and -2 stand for the number of parts and of ids
+        # -1 and -2 stand for the number of documents and of ids
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, total]))], names=["term", "n"])
 
-    rows = tails.select("tail").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("tail", "bag", "n_tokens").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r["term"]: r["n"] for r in rows}
     n, total = found.pop(-1, 0), found.pop(-2, 0)
     idf = np.zeros(_TERMS, np.float64)
@@ -99,20 +124,20 @@ def term_weights(tails: DataFrame) -> tuple[np.ndarray, float]:
     return idf, total / max(n, 1)
 
 
-def _bm25(ids: np.ndarray, idf: np.ndarray, average: float) -> tuple[np.ndarray, np.ndarray]:
-    """The weighted terms of a part: (terms, weights), both without those of no weight."""
-    terms, tf = np.unique(ids, return_counts=True)
-    w = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - BM25_B + BM25_B * len(ids) / average))
+def _bm25(bag: Bag, idf: np.ndarray, average: float) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted terms of a document: (terms, weights), both without those of no weight."""
+    terms, tf, length = bag
+    w = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - BM25_B + BM25_B * length / average))
     at = w > 0
     return terms[at], w[at]
 
 
 class ShardIndex:
-    """Inverted BM25 index over the parts of one shard."""
+    """Inverted BM25 index over the documents of the parts of one shard."""
 
-    def __init__(self, parts: list[np.ndarray], idf: np.ndarray, average: float):
-        self.n = len(parts)
-        self.terms, weights = zip(*(_bm25(p, idf, average) for p in parts), strict=True)
+    def __init__(self, bags: list[Bag], idf: np.ndarray, average: float):
+        self.n = len(bags)
+        self.terms, weights = zip(*(_bm25(b, idf, average) for b in bags), strict=True)
         owner = np.repeat(np.arange(self.n), [len(t) for t in self.terms])
         flat = np.concatenate(self.terms)
         order = np.argsort(flat, kind="stable")
@@ -120,16 +145,16 @@ class ShardIndex:
         self.start = np.searchsorted(flat[order], np.arange(_TERMS + 1))
 
     def scores(self, part: int) -> np.ndarray:
-        """BM25 of every part of the shard for the query of ``part``'s terms."""
+        """BM25 of every document of the shard for the query of the terms of ``part``'s."""
         terms = self.terms[part].astype(np.int64)
         lo, n = self.start[terms], self.start[terms + 1] - self.start[terms]
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.bincount(self.owner[at], self.weight[at], minlength=self.n)
 
 
-def fill_windows(parts: list[np.ndarray], idf: np.ndarray, average: float, window: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences as lists of (part, start, length); all but the last ``window`` long."""
-    index = ShardIndex(parts, idf, average)
+def fill_windows(parts: list[np.ndarray], idf: np.ndarray, average: float, window: int, bags: list[Bag] | None = None) -> Iterator[list[tuple[int, int, int]]]:
+    """Sequences as lists of (part, start, length); all but the last ``window`` long. ``bags``: the whole documents, by default the parts."""
+    index = ShardIndex(bags or [_bag(p, None, 0) for p in parts], idf, average)
     done = np.zeros(len(parts), np.int64)  # ids of each part already packed
     size = np.array([len(p) for p in parts])
     free = np.ones(len(parts), bool)
@@ -165,9 +190,9 @@ def fill_windows(parts: list[np.ndarray], idf: np.ndarray, average: float, windo
         seed = cut
 
 
-def sequences(parts: list[np.ndarray], idf: np.ndarray, average: float, window: int) -> Iterator[list[tuple[int, int, int]]]:
+def sequences(parts: list[np.ndarray], idf: np.ndarray, average: float, window: int, bags: list[Bag] | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """As ``fill_windows``, the last window cut into lengths that are powers of two."""
-    for seq in fill_windows(parts, idf, average, window):
+    for seq in fill_windows(parts, idf, average, window, bags):
         total = sum(x[2] for x in seq)
         if total == window:
             yield seq
@@ -194,24 +219,25 @@ def pack(docs: DataFrame, window: int = 2048, vocabulary: str = VOCABULARY, shar
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row a piece of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs_ = tokenised(docs, window, vocabulary)
-    tails = docs_.where(F.octet_length("tail") > 0).select("row", "doc_id", "n_tokens", "tail")
-    idf, average = term_weights(tails)
+    tails = docs_.where(F.octet_length("tail") > 0).select("row", "doc_id", "n_tokens", "tail", "bag")
+    idf, average = term_weights(docs_)
     weights = spark.sparkContext.broadcast((idf, average))
-    total = tails.agg(F.sum(F.col("n_tokens") % window)).first()[0] or 0
+    # ids to pack, or terms to index where those are more: either is held in a task
+    total = tails.agg(F.sum(F.greatest(F.col("n_tokens") % window, F.octet_length("bag") / 6))).first()[0] or 0
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, average = weights.value
         for b in batches:
             first, second = [], []
-            for t in b.column("tail"):
-                terms, w = _bm25(np.frombuffer(t.as_buffer(), "<u2"), idf, average)
+            for bag in _bags(b):
+                terms, w = _bm25(bag, idf, average)
                 top = terms[np.lexsort((terms, -w))[:2]].tolist() + [-1, -1]
                 first.append(top[0])
                 second.append(top[1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())],
                                              names=[*b.schema.names, "term1", "term2"])
 
-    routed = tails.mapInArrow(route, "row long, doc_id long, n_tokens long, tail binary, term1 int, term2 int")
+    routed = tails.mapInArrow(route, "row long, doc_id long, n_tokens long, tail binary, bag binary, term1 int, term2 int")
     shards = routed.repartitionByRange(max(1, math.ceil(total / shard_tokens)), "term1", "term2", "doc_id", "row")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +250,7 @@ def pack(docs: DataFrame, window: int = 2048, vocabulary: str = VOCABULARY, shar
         doc, tokens = t.column("doc_id").to_pylist(), t.column("n_tokens").to_pylist()
         sequence = TaskContext.get().partitionId() << 34
         cols: list[list] = [[] for _ in range(7)]
-        for seq in sequences(parts, idf, average, window):
+        for seq in sequences(parts, idf, average, window, list(_bags(t))):
             offset = 0
             for p, s, n in seq:
                 values = (doc[p], tokens[p] - len(parts[p]) + s, n, _crc(parts[p][s:s + n]), tokens[p], sequence * 2 + 1, offset)

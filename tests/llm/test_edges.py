@@ -196,6 +196,26 @@ def test_retrieval_prefers_lexical_neighbours():
     assert [p for p, _, _ in first] == [0, 2]
 
 
+def test_weights_are_of_whole_documents(awkward, awkward_pairs, spark):
+    """Full windows count too, also of a document that is nothing but full windows."""
+    ids = [brute.tokenizer().encode(t or "", add_special_tokens=False).ids + [1] for _, t in awkward_pairs]
+    for window in (64, len(ids[9])):
+        idf, average = packing.term_weights(packing.tokenised(awkward, window))
+        n, df = len(ids), Counter(i for x in ids for i in set(x))
+        assert average == sum(map(len, ids)) / n
+        want = {i: max(0.0, math.log((n - k + 0.5) / (k + 0.5))) for i, k in df.items()}
+        assert {int(i): idf[i] for i in np.flatnonzero(idf)} == {i: w for i, w in want.items() if w}
+
+
+def test_long_documents_are_retrieved_by_their_whole_text():
+    """Parts 0 and 2 share no term, their documents do; part 1 shares a term with part 0 that its document hardly has."""
+    parts = [np.full(50, x, "<u2") for x in (5, 5, 9)]
+    whole = [np.concatenate([np.arange(100, 300), parts[0]]), parts[1], np.concatenate([np.arange(100, 300), parts[2]])]
+    bags = [packing._bag(p, packing._bag_bytes(w) if len(w) > len(p) else None, len(w)) for p, w in zip(parts, whole)]
+    first = next(packing.fill_windows(parts, np.ones(1 << 16), 200.0, 100, bags))
+    assert [p for p, _, _ in first] == [0, 2]
+
+
 def test_materialise(awkward, awkward_pairs, no_docs, spark, tmp_path):
     tok = brute.tokenizer()
     shards = materialise.materialise(awkward, str(tmp_path / "s"), length=64, per_shard=50)
