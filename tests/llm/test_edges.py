@@ -161,6 +161,14 @@ def test_components(spark):
         assert len(got) == 143 and graph.components(spark.createDataFrame([], "u long, v long"), one_task).count() == 0
 
 
+def test_small_link_tables_take_the_rounds_too(spark, monkeypatch):
+    seen, star = [], graph._star
+    monkeypatch.setattr(graph, "_star", lambda *a: seen.append(a[2]) or star(*a))
+    got = graph.components(spark.createDataFrame([(i, i + 1) for i in range(8)], "u long, v long"))
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(9)}
+    assert seen[:2] == [True, False] and len(seen) >= 4
+
+
 def test_token_counts(awkward, awkward_pairs, no_docs):
     tok = brute.tokenizer()
     want = [(d, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 2048) for d, t in awkward_pairs]
