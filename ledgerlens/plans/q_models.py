@@ -215,13 +215,13 @@ def _grid_sql() -> str:
 
 @query("lda_grid", ("T4", "T5", "D16"), _grid_sql)
 def lda_grid(spark, sf_dir):
-    """Two topic counts on both corpora of the grid (75 % in row order, and all), one pass each, scored by C_V."""
+    """Two topic counts on both corpora of the grid (75 % in row order, and all), the default passes each, scored by C_V."""
     toks, vectors, terms, _ = lda_parts(spark, sf_dir)
 
     def score(model):
         return CO.model_coherence(CO.coherence_cv(toks, LDA.topic_terms(model, terms, L.COHERENCE_TOPN), "file_name"))
 
-    grid = LDA.k_sweep(vectors, score, ks=(2, 3), alphas=("asymmetric",), betas=("symmetric",), passes=1)
+    grid = LDA.k_sweep(vectors, score, ks=(2, 3), alphas=("asymmetric",), betas=("symmetric",))
     return grid.select("Validation_Set", "Topics", "Alpha", "Beta", F.col("Coherence").between(-1.0, 1.0).alias("in_range"))
 
 

@@ -197,3 +197,23 @@ def test_no_silent_checkpoint_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_grid_fits_take_the_operators_passes(monkeypatch):
+    """lda_grid may run few points of the grid, but each as the grid has it."""
+    from ledgerlens.plans import q_models
+
+    class Seen(Exception):
+        pass
+
+    def k_sweep(vectors, score, **kw):
+        raise Seen(kw)
+
+    monkeypatch.setattr(q_models, "lda_parts", lambda spark, sf_dir: (None,) * 4)
+    monkeypatch.setattr(q_models.LDA, "k_sweep", k_sweep)
+    try:
+        q_models.lda_grid(None, "")
+    except Seen as seen:
+        assert "passes" not in seen.args[0]
+    else:
+        raise AssertionError("no sweep")
