@@ -47,32 +47,6 @@ def substring_dedup(docs, width=20):
     return out
 
 
-def line_dedup(docs, least=6):
-    """(lines, removed lines, new text) by document."""
-    seen, out = set(), {}
-    for doc, text in places(docs):
-        lines = [x.strip(SPACES) for x in (text or "").split("\n") if x.strip(SPACES)]
-        gone = set()
-        for i in range(len(lines)):
-            for j in range(i, len(lines)):
-                if sum(len(words(x)) for x in lines[i:j + 1]) >= least:
-                    k = tuple(lines[i:j + 1])
-                    if k in seen:
-                        gone |= set(range(i, j + 1))
-                    seen.add(k)
-                    break
-        kept, i = [], 0
-        for x in (text or "").split("\n"):
-            if not x.strip(SPACES):
-                kept.append(x)
-                continue
-            if i not in gone:
-                kept.append(x)
-            i += 1
-        out[doc, text] = (len(lines), len(gone), "\n".join(kept))
-    return out
-
-
 def maximal_line_runs(docs, least=6):
     """Numbers of the lines to delete by document: of each line's longest match with an earlier place, all that have ``least`` words."""
     seqs = [[x.strip(SPACES) for x in (text or "").split("\n") if x.strip(SPACES)] for _, text in places(docs)]
@@ -93,6 +67,22 @@ def maximal_line_runs(docs, least=6):
     return out
 
 
+def line_dedup(docs, least=6):
+    """(lines, removed lines, new text) by document: without the lines of ``maximal_line_runs``; blank lines stay."""
+    out = {}
+    for (doc, text), gone in maximal_line_runs(docs, least).items():
+        kept, n = [], 0
+        for x in (text or "").split("\n"):
+            if not x.strip(SPACES):
+                kept.append(x)
+                continue
+            if n not in gone:
+                kept.append(x)
+            n += 1
+        out[doc, text] = (n, len(gone), "\n".join(kept))
+    return out
+
+
 def fingerprint(text, n=4):
     w = (text or "").encode().translate(LOWER).split()
     if not w:
