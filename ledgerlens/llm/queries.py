@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.session import scratch_path
 
-from . import exact, lines, materialise, mixing, packing, quality, simhash, substrings, token_counts, url_filter
+from . import bestfit, exact, hard_negatives, lines, materialise, mixing, packing, quality, simhash, substrings, token_counts, trie, url_filter
 from .common import read_table
 
 
@@ -56,9 +56,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return trie.trie_nodes(trie.rebuilt(trie.conversations(turns)))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.relabelled(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_whole(read_table(spark, sf_dir, "documents", "doc_id", "text"), capacity=4096)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_packing, op3_substring_dedup, op4_simhash_near_dedup, op5_token_counts,
-    op6_quality_rules, op7_token_shards, op8_line_dedup, op9_source_mixing, op10_exact_dedup)}
+    op6_quality_rules, op7_token_shards, op8_line_dedup, op9_source_mixing, op10_exact_dedup,
+    op11_conversation_trie, op12_hard_negatives, op13_best_fit_packing)}
 
 OP1_SQL = r"""
 WITH p AS (
@@ -133,4 +147,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op6_quality_rules": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+OP11_SQL = r"""
+WITH own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS ts
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (SELECT conv_id, ts, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+          lambda x, b: list_reduce(list_prepend(xor(x, b), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295::BIGINT) % 6 AS h FROM own),
+new AS (SELECT a.conv_id, list_concat(coalesce(b.ts[1:a.h], []), a.ts[a.h + 1:]) AS ts
+        FROM crc a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+m AS (SELECT conv_id, len(ts) AS n, depth, ts[1:depth] AS path FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS depth FROM new)),
+node AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends FROM m GROUP BY path, depth),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+each AS (SELECT node.*, coalesce(kids.n, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * length(node.path[depth].text) ELSE 0 END AS saved
+         FROM node LEFT JOIN kids ON kids.path = node.path),
+below AS (SELECT path[1:k] AS path, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+          FROM (SELECT path, saved, n_children, unnest(range(0, depth + 1)) AS k FROM each) GROUP BY 1)
+SELECT e.conv_id, e.depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, sha256(e.ends) AS ends_sha256
+FROM each e JOIN below b ON b.path = e.path LEFT JOIN node p ON e.depth > 0 AND p.depth = e.depth - 1 AND p.path = e.path[1:e.depth - 1]
+"""
+
+OP12_SQL = r"""
+WITH e AS (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.uid, b.vec_id, a.label = b.label AS alike,
+             list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+      FROM e a JOIN e b ON a.uid <> b.uid WHERE a.vec_id % 50 = 0),
+pos AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS nth FROM s WHERE alike),
+neg AS (SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor, p.nth ORDER BY n.score DESC, n.vec_id) AS rank
+        FROM pos p JOIN s n ON n.anchor = p.anchor AND NOT n.alike AND 100 * n.score BETWEEN 50 * p.score AND 95 * p.score WHERE p.nth <= 5)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3
+"""
+
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op6_quality_rules": OP6_SQL, "op10_exact_dedup": OP10_SQL,
+              "op11_conversation_trie": OP11_SQL, "op12_hard_negatives": OP12_SQL}

@@ -1,6 +1,7 @@
 """Plain single-machine versions of the operators, over lists of (doc_id, text)."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -156,3 +157,90 @@ def check_packing(docs, pieces, window=2048):
             assert at == end
             end += k
         assert end == window or end < window and end & (end - 1) == 0, end
+
+
+def trie(rows, block=100, most=6):
+    """Nodes (conv_id, depth, parent's conv_id, members, children, leaves, saved, hash of those that end) of (conv_id, turn, role, text) rows."""
+    def place(t):
+        raw = str(len(t[2].encode())).encode() + b":" + t[2].encode() + t[3].encode()
+        return (*t[:2], hashlib.sha256(raw).digest()[:16])
+
+    given = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            given[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(ts, key=place)] for c, ts in given.items()}
+    members, kids = defaultdict(list), Counter()
+    new = {}
+    for c in sorted(own):
+        h = zlib.crc32(str(c).encode()) % most
+        new[c] = own.get(c - int(math.fmod(c, block)), [])[:h] + own[c][h:]
+        for d in range(len(new[c]) + 1):
+            members[tuple(new[c][:d])].append(c)
+    kids.update(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, ms in members.items():
+        for d in range(len(p) + 1):
+            saved[p[:d]] += (len(ms) - 1) * len(p[-1][1]) if p else 0
+            leaves[p[:d]] += not kids[p]
+    return [(ms[0], len(p), members[p[:-1]][0] if p else None, len(ms), kids[p], leaves[p], saved[p],
+             hashlib.sha256(",".join(str(c) for c in ms if len(new[c]) == len(p)).encode()).hexdigest()) for p, ms in members.items()]
+
+
+def hard_negatives(rows):
+    """(anchor, positive, rank, negative, their scores) of (vec_id, vector, label) rows."""
+    use, out = [], []
+    for v, e, label in rows:
+        if label is None or e is None or any(x is None or not math.isfinite(x) for x in e):
+            continue
+        use.append((v, (label + 1) % 10 if v is not None and v % 7 == 0 else label, [math.floor(256 * x) for x in e]))
+    for i, (v, label, x) in enumerate(use):
+        if v is None or v % 50:
+            continue
+        ranked = sorted((-sum(a * b for a, b in zip(x, y)), w is None, w or 0, other) for j, (w, other, y) in enumerate(use) if j != i)
+        for p in [t for t in ranked if t[3] == label][:5]:
+            near = [t for t in ranked if t[3] != label and -50 * p[0] <= -100 * t[0] <= -95 * p[0]][:3]
+            out += [(v, None if p[1] else p[2], k, None if n[1] else n[2], -p[0], -n[0]) for k, n in enumerate(near, 1)]
+    return out
+
+
+def best_bins(items, capacity):
+    """The least number of bins of ``capacity`` that hold ``items``, by search."""
+    items = sorted(items, reverse=True)
+    best = [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for b in {b: k for k, b in enumerate(bins) if b + items[i] <= capacity}.values():
+            bins[b] += items[i]
+            go(i + 1, bins)
+            bins[b] -= items[i]
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def check_whole_packing(docs, pieces, capacity=4096):
+    """Every id of every document in one piece, only longer ones cut, sequences gapless; returns (sequences, lengths)."""
+    tok = tokenizer()
+    want = Counter()
+    for doc, text in docs:
+        ids = tok.encode(text or "", add_special_tokens=False).ids + [1]
+        for i, at in enumerate(range(0, len(ids), capacity)):
+            want[doc, i, at, len(ids[at:at + capacity]), crc(ids[at:at + capacity])] += 1
+    assert want == Counter((p["doc_id"], p["piece"], p["start"], p["length"], p["ids_crc32"]) for p in pieces)
+    by_sequence = defaultdict(list)
+    for p in pieces:
+        by_sequence[p["sequence_id"]].append((p["offset"], p["length"]))
+    for parts in by_sequence.values():
+        end = 0
+        for at, k in sorted(parts):
+            assert at == end
+            end += k
+        assert end <= capacity
+    return len(by_sequence), [p["length"] for p in pieces]

@@ -10,8 +10,8 @@ from tests.llm import brute
 
 def test_every_query_is_held_against_something():
     """test_oracles.py runs those with SQL; the others are below, the pipeline in test_edges.py."""
-    assert set(ORACLE_SQL) == {"op1_url_filters", "op6_quality_rules", "op10_exact_dedup"}
-    assert len(QUERIES) == 10
+    assert set(ORACLE_SQL) == {"op1_url_filters", "op6_quality_rules", "op10_exact_dedup", "op11_conversation_trie", "op12_hard_negatives"}
+    assert len(QUERIES) == 13
 
 
 def test_packing(spark, pairs):
@@ -71,3 +71,15 @@ def test_mixing(spark, pairs, documents):
     top = max(totals.values())  # the sources are alike enough for equal weights within two repeats
     for s, n in used.items():
         assert top - longest[s] <= n <= top, s
+
+
+def test_best_fit_packing(spark, pairs):
+    n, lengths = brute.check_whole_packing(pairs, QUERIES["op13_best_fit_packing"](spark, SF01).collect())
+    bins = []  # never more than first fit decreasing
+    for x in sorted(lengths, reverse=True):
+        at = next((i for i, b in enumerate(bins) if b + x <= 4096), None)
+        if at is None:
+            bins.append(x)
+        else:
+            bins[at] += x
+    assert -(-sum(lengths) // 4096) <= n <= len(bins)
