@@ -51,4 +51,4 @@ def coverage() -> dict[str, tuple[str, ...]]:
 
 
 def _load() -> None:
-    from . import q_chunks, q_edgar, q_files, q_manifest, q_models, q_speech, q_text, q_topics  # noqa: F401  (registers on import)
+    from . import q_chunks, q_edgar, q_files, q_manifest, q_models, q_speech, q_text, q_topics, q_vectors  # noqa: F401  (registers on import)
