@@ -111,6 +111,12 @@ def _later(h: np.ndarray, doc: np.ndarray, key: np.ndarray, start: np.ndarray) -
     return out
 
 
+def document_part(doc: np.ndarray, key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each document, from its id and text together: a text that very many documents share spreads over all parts."""
+    mixed = (key.view(np.uint64) ^ doc.view(np.uint64) * _MIX) * _MIX
+    return ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 def _starts(doc: np.ndarray, key: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     """(doc, key, starts) with one row a document."""
     order = np.lexsort((start, key, doc))
@@ -186,7 +192,7 @@ def repeated_starts(docs: DataFrame, width: int = 20, bucket_windows: int = 1 <<
         # back to the documents: a row for each part of them, so many as there are buckets
         order = np.lexsort((start, key, doc))
         doc, key, start = doc[order], key[order], start[order]
-        part = ((key.view(np.uint64) * _MIX >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        part = document_part(doc, key, buckets)
         parts = np.unique(part)
         blobs = [_pack(h[:0], doc[part == p], key[part == p], start[part == p]) for p in parts]
         return pa.table({"part": pa.array(parts, pa.int32()), "windows": pa.array(blobs, pa.binary())})

@@ -74,6 +74,28 @@ def test_substrings(awkward, awkward_pairs, no_docs):
     assert substrings.deduplicate_substrings(no_docs).count() == 0
 
 
+def test_a_text_of_thousands_of_documents_spreads_over_the_parts(spark):
+    """The starts of one text's copies go back by document, not all to the part of the text."""
+    import numpy as np
+    from collections import Counter
+    from pyspark.sql import functions as F
+    doc = np.arange(3, 12_000, 3)
+    share = np.bincount(substrings.document_part(doc, np.full(len(doc), 77), 16), minlength=16)
+    assert share.min() > 0 and share.max() < 2 * len(doc) / 16
+    text = " ".join(f"w{i}" for i in range(60))
+    copies = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = [(r.doc, r.starts, r.task) for r in substrings.repeated_starts(copies, bucket_windows=5000).withColumn("task", F.spark_partition_id()).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    assert {d for d, _, _ in got} == set(range(1, 3000)) and len(got) == 2999
+    assert all((np.frombuffer(s, "<u4") == np.arange(41)).all() for _, s, _ in got)
+    tasks = Counter(t for _, _, t in got)
+    assert len(tasks) > 3 and max(tasks.values()) < 2000
+
+
 def test_substrings_in_many_slices(awkward, awkward_pairs, monkeypatch):
     """The same when a task deals its windows out in many slices and buckets."""
     want = brute.substring_dedup(awkward_pairs)
