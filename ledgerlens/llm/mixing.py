@@ -133,7 +133,7 @@ def _block(hash_: str, blocks: int) -> Column:
 
 
 def block_plan(docs: DataFrame, per_source: DataFrame, blocks: int, seed: int) -> DataFrame:
-    """source, block, passes, until: whole passes and the largest order value that the partial pass takes (null: none); written.
+    """source, block, passes, until, exponent, weight: whole passes and the largest order value that the partial pass takes (null: none); written.
 
     ``docs`` has source, tokens, hash. The partial pass goes through a source's blocks in the order of
     a hash of (source, block), and through a block's documents in the order of ``_order``.
@@ -141,7 +141,7 @@ def block_plan(docs: DataFrame, per_source: DataFrame, blocks: int, seed: int) -
     at = docs.select("source", "tokens", _block("hash", blocks).alias("block"), _order(seed).alias("order"))
     sums = written(at.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
     turn = Window.partitionBy("source").orderBy(_hash(seed + 1, "source", "block"), "block")
-    s = per_source.select(F.col("source").alias("s"), "passes", "rest")
+    s = per_source.select(F.col("source").alias("s"), "passes", "rest", "exponent", "weight")
     b = sums.join(small(written(s, "passes")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     b = b.withColumn("before", F.sum("tokens").over(turn) - F.col("tokens"))
     b = written(b.withColumn("left", F.col("rest") - F.col("before")), "block-budgets")
@@ -154,7 +154,7 @@ def block_plan(docs: DataFrame, per_source: DataFrame, blocks: int, seed: int) -
             .groupBy("s", "b").agg(F.max("order").alias("end")))
     plan = b.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
     until = F.when(F.col("left") >= F.col("tokens"), F.when(F.col("rest") > 0, F.lit(2**63 - 1))).when(F.col("left") > 0, F.col("end"))
-    return written(plan.select("source", "block", F.col("passes").cast("int").alias("passes"), until.alias("until")), "plan")
+    return written(plan.select("source", "block", F.col("passes").cast("int").alias("passes"), until.alias("until"), "exponent", "weight"), "plan")
 
 
 def _order(seed: int) -> Column:
@@ -176,25 +176,28 @@ def mix_plan(docs: DataFrame, target_entropy: float | None = None, max_repeat: f
 
 
 def _taken(docs: DataFrame, plan: DataFrame, blocks: int, seed: int) -> DataFrame:
-    """row, id, source, block, pass: one row for each time that a document is taken."""
+    """row, id, source, exponent, weight, block, hash, pass: one row for each time that a document is taken."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"),
                        _hash(seed, "doc_id", "text").alias("hash")).withColumn("at", _block("hash", blocks))
     j = rows.join(small(plan), F.col("from").eqNullSafe(F.col("source")) & (F.col("at") == F.col("block")))
     times = F.col("passes") + F.coalesce((_order(seed) <= F.col("until")).cast("int"), F.lit(0))
     return (j.withColumn("times", times).where("times > 0")
-            .select("row", "id", "source", "block", "hash", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("pass")))
+            .select("row", "id", "source", "exponent", "weight", "block", "hash", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("pass")))
 
 
 def mix(docs: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 2.0, budget_tokens: int | None = None,
         blocks: int = 1024, seed: int = 29) -> DataFrame:
-    """doc_id, source, pass, block, block_turn, doc_turn: each use of a document.
+    """doc_id, source, exponent, weight, pass, block, block_turn, doc_turn: each use of a document.
+
+    ``exponent`` is the one that was bisected, ``weight`` the source's share of
+    the mix (null: a source without words).
 
     Training order within a source: pass, block_turn (a permutation of the
     blocks, another in each pass), block, doc_turn.
     """
     _, plan = mix_plan(docs, target_entropy, max_repeat, budget_tokens, blocks, seed)
     t = _taken(docs.select("doc_id", "text", "source"), plan, blocks, seed)
-    return t.select(F.col("id").alias("doc_id"), "source", "pass", "block",
+    return t.select(F.col("id").alias("doc_id"), "source", "exponent", "weight", "pass", "block",
                     _hash(seed + 1, "source", "block", "pass").alias("block_turn"), _hash(seed + 2, "hash", "pass").alias("doc_turn"))
 
 

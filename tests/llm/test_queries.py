@@ -1,6 +1,7 @@
 """The registered queries: against DuckDB where SQL can say it, else against a plain version, on the sf0.01 tables."""
 
 import hashlib
+import math
 from collections import Counter
 
 from ledgerlens.llm.queries import ORACLE_SQL, QUERIES
@@ -56,21 +57,26 @@ def test_lines(spark, pairs):
 
 
 def test_mixing(spark, pairs, documents):
-    """Every document once or twice; every source within one document of the largest source's tokens."""
+    """The exponent at which the most repeated source is repeated 1.3 times; every document once or twice, every source within one document of its budget."""
     size = {d: len(brute.words(t)) for d, t in pairs}
+    totals = Counter()
+    for r in documents.select("doc_id", "source").collect():
+        totals[r["source"]] += size[r["doc_id"]]
+    # repeats at full coverage are (largest share / smallest share) ** (1 - exponent)
+    exponent = 1 - math.log(1.3) / math.log(max(totals.values()) / min(totals.values()))
+    assert 0 < exponent < 1  # neither end of the bisection
+    powers = {s: n ** exponent for s, n in totals.items()}
+    weight = {s: p / sum(powers.values()) for s, p in powers.items()}
+    whole = max(n / weight[s] for s, n in totals.items())
     times, used, longest = Counter(), Counter(), Counter()
-    rows = QUERIES["op9_source_mixing"](spark, SF01).collect()
-    for r in rows:
+    for r in QUERIES["op9_source_mixing"](spark, SF01).collect():
         times[r["doc_id"]] += 1
         used[r["source"]] += size[r["doc_id"]]
         longest[r["source"]] = max(longest[r["source"]], size[r["doc_id"]])
+        assert abs(r["exponent"] - exponent) < 1e-6 and abs(r["weight"] - weight[r["source"]]) < 1e-6
     assert set(times) == set(size) and set(times.values()) <= {1, 2}
-    totals = Counter()
-    for r in documents.select("doc_id", "source").collect():
-        totals[r["source"]] += size[r["doc_id"]]
-    top = max(totals.values())  # the sources are alike enough for equal weights within two repeats
     for s, n in used.items():
-        assert top - longest[s] <= n <= top, s
+        assert weight[s] * whole - longest[s] - 1 <= n <= weight[s] * whole + 1, s
 
 
 def test_best_fit_packing(spark, pairs):
