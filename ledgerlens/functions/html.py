@@ -1,8 +1,8 @@
-"""HTML-to-text and text normalisation as column expressions.
+"""Flat HTML cleaning and text normalisation as column expressions (H2, N1-N8), and H1's SQL.
 
-Both cleaners are chains of JVM regex replacements, so they run inside the
-executor's codegen'd projection with no Python round trip. Each chain has a
-SQL rendering used by the DuckDB oracle.
+The chains are JVM regex replacements, so they run inside the executor's
+codegen'd projection with no Python round trip. Each chain has a SQL rendering
+used by the DuckDB oracle. H1 needs a page's elements: ``markup.pages_to_text``.
 """
 
 from __future__ import annotations
@@ -45,18 +45,22 @@ N2_STEPS = (Re("([0-9]+(?:[.][0-9]+)?)" + UWS + "*\n" + UWS + "*%" + UWS + "*",
 N3_STEPS = (Re("\n" + UWS + "*\n" + UWS + "*\n+", "\n\n"),)
 N4_STEPS = (Lit("\r\n", "\n"), Re(LINE_BREAKS, "\n"), Re(HWS + "+\n", "\n"))
 
-# H1: structure-keeping cleaner. Entities first, so escaped markup becomes markup.
-H1_TAG_STEPS = (Guard("<", (
+# H1 in SQL, the oracle of ``markup.pages_to_text``. Entities first, so escaped markup becomes markup.
+H1_NO_TEXT_STEPS = (Guard("<", (
     _drop_element("script"), _drop_element("style"), _drop_element("noscript"),
     _drop_element("svg"),
     Re("(?s)<!--.*?-->", " "),
     Re("<[!?][^>]*>", " "),
+    Re("(?i)<p" + _TAG_TAIL, "<p>"),
+)),)
+H1_TAG_STEPS = (Guard("<", (
     Re("(?i)<img" + _TAG_TAIL, " "),
     Re("(?i)<br" + _TAG_TAIL, " \n "),
     Re("(?i)</(?:p|div|tr|li|h[1-6]|table)" + UWS + "*>", " \n "),
     Re("</?[A-Za-z][^>]*>", " "),
 )),)
-H1_STEPS = ENTITY_STEPS + H1_TAG_STEPS + N1_STEPS + N2_STEPS + N3_STEPS + N4_STEPS
+#: Tags before which a paragraph ends that has no end tag of its own.
+P_ENDERS = "article|aside|blockquote|body|div|dl|fieldset|footer|form|h[1-6]|header|hr|li|main|nav|ol|pre|section|table|td|ul"
 
 # H2: flat cleaner. Tags first, entities after, every whitespace run -> one space.
 H2_TAG_STEPS = (Guard("<", (
@@ -86,13 +90,13 @@ def decode_entities(col: Column) -> Column:
                .when(v.rlike(UNKNOWN_REFERENCE), unescape(v)).otherwise(apply_chain(v, ENTITY_STEPS)))
 
 
-def html_to_text(col: Column) -> Column:
-    """H1 + N1-N4: decode, drop non-text elements, newline at block ends, tidy lines."""
-    return py_strip(apply_chain(decode_entities(col), H1_STEPS[len(ENTITY_STEPS):]))
-
-
 def html_to_text_sql(expr: str) -> str:
-    return py_strip_sql(chain_sql(expr, H1_STEPS))
+    """H1 + N1-N4 for pages that leave out no end tags but those of paragraphs: each gets its own, then a chain of replacements."""
+    cut = f"string_split({chain_sql(expr, ENTITY_STEPS + H1_NO_TEXT_STEPS)}, '<p>')"
+    ended = (f"[CASE WHEN regexp_matches(x, '(?i)</p') THEN x ELSE regexp_replace(x, '(?i)(</?(?:{P_ENDERS})[ \t\r\n/>]|$)', '</p>\\1') END"
+             " for x in pieces[2:]]")
+    whole = f"(SELECT array_to_string(list_prepend(pieces[1], {ended}), '<p>') FROM (SELECT {cut} AS pieces) one)"
+    return py_strip_sql(chain_sql(whole, H1_TAG_STEPS + N1_STEPS + N2_STEPS + N3_STEPS + N4_STEPS))
 
 
 def html_flat(col: Column) -> Column:

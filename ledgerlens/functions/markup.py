@@ -20,6 +20,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .html import decode_entities, normalize_lines
 
 # FIXED VALUES: elements that end a line, and those whose content is no text.
 LINE_ELEMENTS = frozenset("p div tr li h1 h2 h3 h4 h5 h6 table".split())
@@ -46,7 +49,7 @@ _PARAGRAPH = (frozenset(("p",)), frozenset(("table", "caption", "td", "th")))
 _TABLE_PARTS = CELLS | SECTIONS | {"tr", "table"}
 _CELL_WALL = CELLS | {"table"}
 
-_QUOTED = r"""(?:[^'">]+|"[^"]*"|'[^']*')*"""
+_QUOTED = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""  # nothing is tried twice: a tag without its end costs its length
 _TOKEN = re.compile(
     rf"""<!--(?:>|->|.*?(?:-->|--!>|\Z))            # a comment, to the end of the page when it is left open
        | <(?P<raw>{"|".join(NO_TEXT)})(?=[\s/>])(?P<attrs>{_QUOTED})>
@@ -126,3 +129,9 @@ def scan_markup(df: DataFrame, texts: str, flags: str | None = None) -> DataFram
             yield b.set_column(at, b.schema.field(at), pa.array(new, column.type))
 
     return df.mapInArrow(run, df.schema)
+
+
+def pages_to_text(df: DataFrame, column: str) -> DataFrame:
+    """H1 + N1-N4 on the pages in ``column``: references decoded and lines tidied by expressions, elements by the scanner."""
+    decoded = df.withColumn(column, decode_entities(F.col(column)))
+    return scan_markup(decoded, column).withColumn(column, normalize_lines(F.col(column)))

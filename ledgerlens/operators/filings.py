@@ -2,10 +2,11 @@
 
 A filing is one row holding the whole submission text. Two shapes are offered:
 
-* ``clean_filings`` keeps one row per filing and does the whole clean-up with
-  array higher-order functions (split into blocks, filter by type, clean each
-  kept body, assemble). It is a narrow map: no shuffle, no re-grouping of
-  cleaned text, which at scale is a full copy of the corpus avoided.
+* ``clean_filings`` keeps one row per filing and does the whole clean-up inside
+  it: array higher-order functions split, filter by type and assemble, the
+  element scanner (``functions.markup``) reads the kept HTML bodies in Arrow
+  batches. It is a narrow map: no shuffle, no re-grouping of cleaned text,
+  which at scale is a full copy of the corpus avoided.
 * ``document_blocks`` / ``kept_sections`` explode blocks into rows (one per
   ``<DOCUMENT>``) for block-level tables and downstream chunking.
 
@@ -19,15 +20,23 @@ from pyspark.sql import functions as F
 
 from ..functions import edgar as E
 from ..functions import lexicons as L
-from ..functions.html import html_to_text
+from ..functions.html import decode_entities, normalize_lines
+from ..functions.markup import scan_markup
 from ..functions.regexkit import let, py_strip
 from ..session import write_once
 
 
-def clean_body(body: Column) -> Column:
-    """E9 output -> E12 gunk cut -> H1 when E13 says HTML -> strip."""
-    return let(E.drop_leading_gunk(body), lambda cut: py_strip(
-        F.when(E.looks_like_html(cut), html_to_text(cut)).otherwise(cut)))
+def _scannable(body: Column, doc_type: Column) -> Column:
+    """(t, page, body): E9 output after the E12 gunk cut; when E13 says HTML, ``page`` is set and references are decoded."""
+    def parts(cut: Column) -> Column:
+        page = E.looks_like_html(cut)
+        return F.struct(doc_type.alias("t"), page.alias("page"), F.when(page, decode_entities(cut)).otherwise(cut).alias("body"))
+    return let(E.drop_leading_gunk(body), parts)
+
+
+def _tidy(scanned: Column, page: Column) -> Column:
+    """N1-N4 on what was a page, then strip."""
+    return py_strip(F.when(page, normalize_lines(scanned)).otherwise(scanned))
 
 
 def _banner(t: Column) -> Column:
@@ -48,16 +57,17 @@ def clean_filings(filings: DataFrame, raw_col: str = "raw", keep_header: bool =
         typed = F.transform(E.document_blocks(raw),
                             lambda b: F.struct(E.doc_type_strict(b).alias("t"), b.alias("b")))
         kept = F.filter(typed, lambda s: E.keep_block(s["t"], form))
-        cleaned = F.transform(kept, lambda s: F.struct(
-            s["t"].alias("t"), clean_body(E.text_body_greedy(s["b"])).alias("body")))
-        nonempty = F.filter(cleaned, lambda s: s["body"] != "")
-        return F.array_join(
-            F.transform(nonempty, lambda s: F.concat(_banner(s["t"]), F.lit("\n"), s["body"])), "\n\n")
+        return F.transform(kept, lambda s: _scannable(E.text_body_greedy(s["b"]), s["t"]))
 
-    sections = let(E.primary_form(raw), sections_for)
     header = E.sec_header(raw) if keep_header else F.lit(None).cast("string")
-    text = py_strip(F.concat_ws("\n\n", header, sections))
-    return filings.select(*keep, text.alias("clean_text"))
+    cut = filings.select(*keep, header.alias("_header"), let(E.primary_form(raw), sections_for).alias("_sections"))
+    cut = cut.select(*keep, "_header", *[F.col(f"_sections.{c}").alias(f"_{c}") for c in ("t", "page", "body")])
+    cleaned = F.transform(F.arrays_zip("_t", "_page", "_body"), lambda s: F.struct(
+        s["_t"].alias("t"), _tidy(s["_body"], s["_page"]).alias("body")))
+    nonempty = F.filter(cleaned, lambda s: s["body"] != "")
+    sections = F.array_join(F.transform(nonempty, lambda s: F.concat(_banner(s["t"]), F.lit("\n"), s["body"])), "\n\n")
+    text = py_strip(F.concat_ws("\n\n", "_header", sections))
+    return scan_markup(cut, "_body", "_page").select(*keep, text.alias("clean_text"))
 
 
 def document_blocks(filings: DataFrame, raw_col: str = "raw", keep=("f",),
@@ -96,8 +106,9 @@ def kept_sections(filings: DataFrame, raw_col: str = "raw", keep=("f",)) -> Data
     t = E.doc_type_strict(F.col("block"))
     typed = blocks.select(*keep, "seq", "primary_form", "block", t.alias("doc_type"))
     kept = typed.where(E.keep_block(F.col("doc_type"), F.col("primary_form")))
-    out = kept.select(*keep, "seq", "doc_type",
-                      clean_body(E.text_body_greedy(F.col("block"))).alias("body"))
+    cut = kept.select(*keep, "seq", _scannable(E.text_body_greedy(F.col("block")), F.col("doc_type")).alias("_section"))
+    cut = cut.select(*keep, "seq", F.col("_section.t").alias("doc_type"), F.col("_section.page").alias("_page"), F.col("_section.body").alias("_body"))
+    out = scan_markup(cut, "_body", "_page").select(*keep, "seq", "doc_type", _tidy(F.col("_body"), F.col("_page")).alias("body"))
     return out.where(F.col("body") != "")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import lexicons as L
 from ..functions import tokens as T
+from ..functions.markup import pages_to_text
 from ..operators import chunks as C
 from ..operators import filings as FL
 from ..sources import derived
@@ -15,7 +16,7 @@ from .catalog import query
 from .q_edgar import _submission_blocks_ctes, _submission_blocks_df
 
 
-# H1 + N1-N4 on web pages ----------------------------------------------------
+# H1 + N1-N4 on web pages: the element scanner against a regex chain in SQL, equal on well-formed pages
 def _html_text_sql() -> str:
     return f"SELECT page_id, {H.html_to_text_sql('html')} AS text FROM pages"
 
@@ -23,7 +24,7 @@ def _html_text_sql() -> str:
 @query("html_text", ("H1", "N1", "N2", "N3", "N4"), _html_text_sql)
 def html_text(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", H.html_to_text(F.col("html")).alias("text"))
+    return pages_to_text(p.select("page_id", F.col("html").alias("text")), "text")
 
 
 def _html_flat_sql() -> str:

@@ -109,9 +109,10 @@ def test_entities_against_the_standard_library(spark):
 
 
 def test_html_flat_decodes_in_full(spark):
-    from ledgerlens.functions.html import html_flat, html_to_text
+    from ledgerlens.functions.html import html_flat
+    from ledgerlens.functions.markup import pages_to_text
     df = spark.createDataFrame([("<p>a &#8226; b&#146;s</p><p>caf&eacute; &euro;5&nbsp;&mdash; &amp;eacute;</p>",)], "t string")
-    r = df.select(html_flat(F.col("t")).alias("flat"), html_to_text(F.col("t")).alias("text")).first()
+    r = pages_to_text(df.select(html_flat(F.col("t")).alias("flat"), F.col("t").alias("text")), "text").first()
     assert r.flat == "a \u2022 b\u2019s caf\u00e9 \u20ac5 \u2014 &eacute;"
     assert r.text == "a \u2022 b\u2019s\n caf\u00e9 \u20ac5\u00a0\u2014 &eacute;"
 
