@@ -78,6 +78,7 @@ def topic_analysis_job(spark: SparkSession, corpus_csv: str, meta_csvs: list[str
     vectors, terms = LDA.vectorize(final, vocab)
     vectors = materialize(vectors.select("file_name", "features"))
     model = LDA.fit_lda(vectors, k=k)
+    LDA.save_model(model, terms, f"{out_dir}/model")
     words = LDA.topic_terms(model, terms, 100)
     theta = LDA.doc_topics(model, vectors, "file_name")
     kw10 = words.where(F.col("rank") <= 10).groupBy("topic").agg(

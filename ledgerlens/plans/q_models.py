@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -11,9 +13,9 @@ from ..operators import lda as LDA
 from ..operators import relational as R
 from ..operators import topic_map as TM
 from ..operators import topic_tables as TT
-from ..sources import derived
+from ..sources import derived, sinks
 from ..sources.tables import table
-from ..session import materialize
+from ..session import materialize, scratch_path
 from . import speech as SP
 from .catalog import query
 from .q_chunks import _chunk_corpus_sql, chunk_corpus_df
@@ -128,14 +130,13 @@ def lda_parts(spark, sf_dir, k: int = L.LDA_K):
     """(tokens, vectors, terms, model) of one fit, shared by the queries of a session."""
     at = (spark.sparkContext.applicationId, sf_dir, k)
     if at not in _fits:
-        # fixed partitioning and order before the fit (the same mini-batches on a refit),
-        # then a reliable checkpoint so the iterations never recompute the text job
+        # a reliable checkpoint: dictionary, vectors and coherence never recompute the text job
         toks = materialize(R.fixed_order(SP.final_tokens(spark, sf_dir), "file_name"))
         vocab = SP.V.dictionary(toks, "file_name")
         vectors, terms = LDA.vectorize(toks, vocab)
         vectors = materialize(vectors.select("file_name", "year", "features"))
         _fits.clear()
-        _fits[at] = (toks, vectors, terms, LDA.fit_lda(vectors, k=k))
+        _fits[at] = (toks, vectors, terms, LDA.fit_lda(vectors, k=k, order=("year", "file_name")))
     return _fits[at]
 
 
@@ -213,18 +214,36 @@ def _grid_sql() -> str:
     return f"""SELECT *, true AS in_range FROM (VALUES {rows}) g("Validation_Set", "Topics", "Alpha", "Beta")"""
 
 
-@query("lda_grid", ("T4", "T5", "D16"), _grid_sql)
-def lda_grid(spark, sf_dir):
+_grids: dict = {}
+
+
+def grid_scores(spark, sf_dir):
     """Two topic counts on both corpora of the grid (75 % in row order, and all), the default passes each, scored by C_V."""
-    toks, vectors, terms, _ = lda_parts(spark, sf_dir)
+    at = (spark.sparkContext.applicationId, sf_dir) if spark else None
+    if at is None or at not in _grids:
+        toks, vectors, terms, _ = lda_parts(spark, sf_dir)
+
+        def score(model):
+            return CO.model_coherence(CO.coherence_cv(toks, LDA.topic_terms(model, terms, L.COHERENCE_TOPN), "file_name"))
 
-    def score(model):
-        return CO.model_coherence(CO.coherence_cv(toks, LDA.topic_terms(model, terms, L.COHERENCE_TOPN), "file_name"))
+        _grids[at] = LDA.k_sweep(vectors, score, ks=(2, 3), alphas=("asymmetric",), betas=("symmetric",))
+    return _grids[at]
 
-    grid = LDA.k_sweep(vectors, score, ks=(2, 3), alphas=("asymmetric",), betas=("symmetric",))
+
+@query("lda_grid", ("T4", "T5", "D16"), _grid_sql)
+def lda_grid(spark, sf_dir):
+    grid = grid_scores(spark, sf_dir)
     return grid.select("Validation_Set", "Topics", "Alpha", "Beta", F.col("Coherence").between(-1.0, 1.0).alias("in_range"))
 
 
+@query("lda_tuning", ("T4", "T5", "D16", "S7"))
+def lda_tuning(spark, sf_dir):
+    """The tuning table with its scores, written as CSV and read back."""
+    path = scratch_path(spark, f"tuning-{uuid.uuid4().hex}")
+    sinks.write_csv(grid_scores(spark, sf_dir), path, order_by=("Validation_Set", "Topics", "Alpha", "Beta"))
+    return spark.read.option("header", True).schema(LDA.GRID_SCHEMA).csv(path)
+
+
 # T7, T8 on fixed groups: exact --------------------------------------------------------
 def _vector_ctes() -> str:
     """The whole class-based TF-IDF vectors of the fixed groups."""

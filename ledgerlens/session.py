@@ -81,6 +81,12 @@ def write_once(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a job has written its table to ``path`` to the end (its success mark is there)."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def materialize(df):
     """Cut lineage before iterative or multi-pass steps.
 

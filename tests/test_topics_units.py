@@ -108,14 +108,6 @@ def test_classifier_hook(spark):
     assert all(r.Confidence == 0.5 for r in rows)
 
 
-def test_lda_schedule_is_one_formula():
-    from ledgerlens.operators.lda import schedule
-    for n in (1, 3999, 4000, 4001, 15_999, 16_000, 16_001, 10**7):
-        frac, steps = schedule(n, passes=20, chunksize=4000)
-        assert frac == min(1.0, 4000 / n) and (steps - 1) * frac < 20 <= steps * frac * (1 + 1e-12)
-    assert schedule(10, batch_fraction=0.5) == schedule(10**9, batch_fraction=0.5) == (0.5, 40)
-
-
 def test_keyword_strings_hold_twenty_terms(spark):
     from ledgerlens.sources import derived
     r = derived.fixed_topics(spark, SF001)
