@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -63,3 +64,17 @@ def prefix_rows(df: DataFrame, order: list[Column], share: float) -> DataFrame:
     n = df.count()
     k = int(share * n)
     return row_positions(df, order).where(F.col("row_no") < k).drop("row_no")
+
+
+def sum_arrays(parts: DataFrame, row: str, part: str, values: str, shape: tuple[int, int]) -> np.ndarray:
+    """A matrix of a bounded ``shape`` from partial sums: the arrays of each ``row`` added up in the order of ``part``.
+
+    Spark adds; one array a row comes back. Rows without a partial sum are zero.
+    """
+    listed = F.array_sort(F.collect_list(F.struct(F.col(part).alias("p"), F.col(values).alias("s"))))
+    total = F.aggregate(listed, F.array_repeat(F.lit(0.0), shape[1]), lambda acc, x: F.zip_with(acc, x["s"], lambda a, b: a + b))
+    rows = parts.groupBy(F.col(row).alias("row")).agg(total.alias("s")).toArrow()
+    out = np.zeros(shape)
+    if rows.num_rows:
+        out[rows.column("row").to_numpy()] = rows.column("s").combine_chunks().flatten().to_numpy().reshape(-1, shape[1])
+    return out

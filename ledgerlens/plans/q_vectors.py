@@ -1,13 +1,16 @@
-"""Registered queries over dense vectors: neighbour graph, density clusters (T6), reassignment."""
+"""Registered queries over dense vectors: dense embedding (V5), neighbour graph, density clusters (T6), reassignment."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from ..operators import dense
 from ..operators import density as DE
 from ..operators import neighbours as NB
 from ..sources.tables import table
 from .catalog import query
+from .q_chunks import chunk_corpus_df
 
 #: Neighbours of a row in the graph under the clusters, itself not counted.
 GRAPH_K = 15
@@ -56,3 +59,49 @@ def vector_reassign(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     means = NB.centroids(e.withColumn("topic", F.col("vec_id") % 9), "topic", "embedding")
     return NB.nearest_centroid(e, means, "vec_id", "embedding")
+
+
+# V5: truncated SVD ---------------------------------------------------------------------
+@query("dense_chunks", ("V5",))
+def dense_chunks(spark, sf_dir):
+    """The chunk corpus with unit vectors of 64 numbers; the tests hold them against numpy's decomposition."""
+    chunks = chunk_corpus_df(spark, sf_dir).withColumn("tokens", F.split("chunk", " "))
+    return dense.dense_embed(chunks, rank=64).select("source_file", "doc_type", "doc_filename", "chunk_id", "embedding")
+
+
+def _whole(spark, sf_dir):
+    e = NB.usable(_embeddings(spark, sf_dir), "vec_id", "embedding").select("key", array_to_vector("v").alias("features"))
+    return e, dense.truncated_svd(e, rank=64)
+
+
+def _usable_ctes() -> str:
+    return """x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0)"""
+
+
+def _dense_lengths_sql() -> str:
+    return f"WITH {_usable_ctes()} SELECT vec_id, round(sum(x * x), 6) AS square FROM x GROUP BY 1"
+
+
+@query("dense_lengths", ("V5",), _dense_lengths_sql)
+def dense_lengths(spark, sf_dir):
+    """Projection on all 64 singular vectors of the given vectors keeps every length."""
+    rows, svd = _whole(spark, sf_dir)
+    out = dense.project(svd, rows, unit=False)
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return out.select(F.col("key").alias("vec_id"), F.round(square, 6).alias("square"))
+
+
+def _singular_moments_sql() -> str:
+    return f"""WITH {_usable_ctes()},
+g AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS g FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY 1, 2)
+SELECT 1 AS power, round(sum(g) FILTER (i = j), 6) AS moment FROM g UNION ALL SELECT 2, round(sum(g * g), 6) FROM g
+UNION ALL SELECT 3, round(sum(a.g * b.g * c.g), 6) FROM g a JOIN g b ON b.i = a.j JOIN g c ON c.i = b.j AND c.j = a.i"""
+
+
+@query("singular_moments", ("V5",), _singular_moments_sql)
+def singular_moments(spark, sf_dir):
+    """Sums of the second, fourth and sixth powers of the singular values, which are traces of powers of the components' products."""
+    _, svd = _whole(spark, sf_dir)
+    values = [(p, float((svd.values ** (2 * p)).sum())) for p in (1, 2, 3)]
+    return spark.createDataFrame(values, "power int, moment double").withColumn("moment", F.round("moment", 6))
