@@ -76,7 +76,7 @@ def _whole(spark, sf_dir):
 
 def _usable_ctes() -> str:
     return """x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
-WHERE embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0)"""
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)"""
 
 
 def _dense_lengths_sql() -> str:
