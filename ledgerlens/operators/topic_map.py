@@ -1,4 +1,4 @@
-"""Topic-map statistics (T12): prevalence, relevance, saliency, inter-topic distance.
+"""Topic-map statistics (T12): prevalence, relevance, saliency, inter-topic distance, coordinates, token shares, rankings.
 
 Given topic-term distributions ``phi(topic, term, p)`` and per-document topic
 weights ``theta(doc, topic, w)`` with document lengths, the data part of an
@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .topic_tables import top_n_per_group
+
 
 def prevalence(theta: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
     """(topic, share): sum over documents of theta * length, normalised."""
@@ -69,3 +72,51 @@ def js_distance(phi: DataFrame) -> DataFrame:
     r = every.join(shared, ["t1", "t2"], "left").na.fill(0.0, ["kl", "s1", "s2"])
     js = (F.col("kl") + F.lit(ln2) * (F.col("P1") - F.col("s1") + F.col("P2") - F.col("s2"))) / 2
     return r.select("t1", "t2", js.alias("js"))
+
+
+def coordinates(distances: DataFrame, topics: list[int], dims: int = 2) -> DataFrame:
+    """(topic, x1 .. x_dims): the topics' places by classical scaling of (t1, t2, js) [Torgerson 1952].
+
+    The squared distances, centred by rows and columns, and their largest
+    eigenvectors times the roots of the eigenvalues (0 for one that is not
+    positive). Of each axis the component that is farthest out is positive (ties: the
+    smaller topic). The table of pairs has k (k - 1) / 2 rows, for k topics.
+    """
+    spark = distances.sparkSession
+    at = {t: i for i, t in enumerate(sorted(topics))}
+    d = np.zeros((len(at), len(at)))
+    for r in distances.select("t1", "t2", "js").collect():
+        d[at[r["t1"]], at[r["t2"]]] = d[at[r["t2"]], at[r["t1"]]] = r["js"]
+    squares = d * d
+    mean = squares.mean(axis=0) if at else squares
+    eigen, vectors = np.linalg.eigh(-(squares - mean - mean[:, None] + (mean.mean() if at else 0)) / 2)
+    places = np.zeros((len(at), dims))
+    for c, j in enumerate(range(len(at) - 1, max(len(at) - 1 - dims, -1), -1)):
+        x = vectors[:, j] * math.sqrt(max(eigen[j], 0.0))
+        places[:, c] = -x if x[np.argmax(np.round(np.abs(x), 9))] < 0 else x
+    rows = [(t, *(float(v) for v in places[i])) for t, i in at.items()]
+    return spark.createDataFrame(rows, "topic int, " + ", ".join(f"x{c + 1} double" for c in range(dims)))
+
+
+def token_shares(phi: DataFrame, prev: DataFrame) -> DataFrame:
+    """(term, topic, share): of all uses of the term that the model expects, the share of the topic."""
+    # one row a topic: bounded by k
+    j = phi.where(F.col("p") > 0).join(F.broadcast(prev), "topic").withColumn("mass", F.col("share") * F.col("p"))
+    total = j.groupBy("term").agg(F.sum("mass").alias("total"))
+    return j.join(total, "term").select("term", "topic", (F.col("mass") / F.col("total")).alias("share"))
+
+
+def rankings(phi: DataFrame, prev: DataFrame, lams: tuple[float, ...] = tuple(i / 10 for i in range(11)), top_n: int = 30) -> DataFrame:
+    """(lam, topic, rank, term, relevance): for each weight, each topic's ``top_n`` terms by relevance to nine places; ties: the earlier term.
+
+    Totals and logarithms are computed once for all weights.
+    """
+    # one row a topic: bounded by k
+    j = phi.where(F.col("p") > 0).join(F.broadcast(prev), "topic")
+    total = j.groupBy("term").agg(F.sum(F.col("share") * F.col("p")).alias("pw"))
+    both = j.join(total, "term").select("topic", "term", F.log("p").alias("own"), F.log(F.col("p") / F.col("pw")).alias("lift"))
+    rows = both.withColumn("lam", F.explode(F.array(*[F.lit(float(x)) for x in lams])))
+    relevance = F.round(F.col("lam") * F.col("own") + (1 - F.col("lam")) * F.col("lift"), 9) + F.lit(0.0)
+    rows = rows.select("lam", "topic", "term", relevance.alias("relevance"))
+    return top_n_per_group(rows, ["lam", "topic"], [F.desc("relevance"), F.asc("term")], top_n, salt_col="term").select(
+        "lam", "topic", "rank", "term", "relevance")

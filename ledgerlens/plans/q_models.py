@@ -120,6 +120,67 @@ def topic_distance(spark, sf_dir):
     return TM.js_distance(phi).select("t1", "t2", F.round("js", 9).alias("js"))
 
 
+def _scaling_sql() -> str:
+    """Double centring and, for each axis, the leading eigenvector by squaring the matrix 24 times."""
+    parts = [f"""{_map_ctes()},
+sh AS (SELECT a.topic AS t1, b.topic AS t2, a.p AS p1, b.p AS p2 FROM phi a JOIN phi b ON a.term = b.term AND a.topic <> b.topic),
+agg AS (SELECT t1, t2, sum(p1 * ln(2 * p1 / (p1 + p2)) + p2 * ln(2 * p2 / (p1 + p2))) AS kl, sum(p1) AS s1, sum(p2) AS s2 FROM sh GROUP BY 1, 2),
+ts AS (SELECT DISTINCT topic FROM phi),
+sq AS (SELECT a.topic AS i, b.topic AS j, CASE WHEN a.topic = b.topic THEN 0 ELSE
+ pow((coalesce(kl, 0) + ln(2) * (2 - coalesce(s1, 0) - coalesce(s2, 0))) / 2, 2) END AS d
+ FROM ts a CROSS JOIN ts b LEFT JOIN agg ON t1 = a.topic AND t2 = b.topic),
+b1 AS MATERIALIZED (SELECT i, j, -(d - avg(d) OVER (PARTITION BY i) - avg(d) OVER (PARTITION BY j) + avg(d) OVER ()) / 2 AS b FROM sq)"""]
+    for axis in (1, 2):
+        parts.append(f"m{axis}_0 AS MATERIALIZED (SELECT i, j, b + CASE WHEN i = j THEN (SELECT sqrt(sum(b * b)) FROM b{axis}) ELSE 0 END AS m FROM b{axis})")
+        for n in range(24):
+            parts.append(f"m{axis}_{n + 1} AS MATERIALIZED (SELECT x.i, y.j, sum(x.m * y.m) / (SELECT sum(m * m) FROM m{axis}_{n}) AS m"
+                         f" FROM m{axis}_{n} x JOIN m{axis}_{n} y ON y.i = x.j GROUP BY 1, 2)")
+        last = f"m{axis}_24"
+        parts.append(f"""c{axis} AS (SELECT i, m FROM {last} WHERE j = (SELECT arg_max(i, m) FROM {last} WHERE i = j)),
+v{axis} AS MATERIALIZED (SELECT i, m / (SELECT sqrt(sum(m * m)) FROM c{axis}) AS v FROM c{axis}),
+l{axis} AS MATERIALIZED (SELECT sum(p.v * b * q.v) AS l FROM b{axis} JOIN v{axis} p ON p.i = b{axis}.i JOIN v{axis} q ON q.i = b{axis}.j),
+x{axis} AS (SELECT i, v * sqrt(greatest(l, 0)) * CASE WHEN (SELECT arg_max(v, (round(abs(v), 9), -i)) FROM v{axis}) < 0 THEN -1 ELSE 1 END AS x
+ FROM v{axis}, l{axis})""")
+        if axis == 1:
+            parts.append("b2 AS MATERIALIZED (SELECT b1.i, b1.j, b - l * p.v * q.v AS b FROM b1 JOIN v1 p ON p.i = b1.i JOIN v1 q ON q.i = b1.j, l1)")
+    return "WITH " + ",\n".join(parts) + "\nSELECT x1.i AS topic, round(x1.x, 6) AS x1, round(x2.x, 6) AS x2 FROM x1 JOIN x2 ON x1.i = x2.i"
+
+
+@query("topic_coordinates", ("T12",), _scaling_sql)
+def topic_coordinates(spark, sf_dir):
+    phi, _, _ = _fixed_phi_theta(spark, sf_dir)
+    topics = [r["topic"] for r in phi.select("topic").distinct().collect()]       # one row a topic
+    out = TM.coordinates(TM.js_distance(phi), topics)
+    return out.select("topic", F.round("x1", 6).alias("x1"), F.round("x2", 6).alias("x2"))
+
+
+def _token_shares_sql() -> str:
+    return f"""WITH {_map_ctes()}
+SELECT pj.term, pj.topic, round(pj.share * pj.p / pw.pw, 9) AS share FROM pj JOIN pw ON pj.term = pw.term"""
+
+
+@query("topic_token_shares", ("T12",), _token_shares_sql)
+def topic_token_shares(spark, sf_dir):
+    phi, theta, lens = _fixed_phi_theta(spark, sf_dir)
+    shares = TM.token_shares(phi, TM.prevalence(theta, lens, "doc_id"))
+    return shares.select("term", "topic", F.round("share", 9).alias("share"))
+
+
+def _rankings_sql() -> str:
+    return f"""WITH {_map_ctes()},
+r AS (SELECT x / 10.0::DOUBLE AS lam, pj.topic, pj.term,
+ round((x / 10.0::DOUBLE) * ln(pj.p) + (1 - x / 10.0::DOUBLE) * ln(pj.p / pw.pw), 9) AS relevance
+ FROM pj JOIN pw ON pj.term = pw.term, generate_series(0, 10) g(x))
+SELECT lam, topic, rank::INT AS rank, term, relevance FROM (SELECT *, row_number() OVER (PARTITION BY lam, topic ORDER BY relevance DESC, term) AS rank FROM r) q
+WHERE rank <= 30"""
+
+
+@query("topic_rankings", ("T12",), _rankings_sql)
+def topic_rankings(spark, sf_dir):
+    phi, theta, lens = _fixed_phi_theta(spark, sf_dir)
+    return TM.rankings(phi, TM.prevalence(theta, lens, "doc_id"))
+
+
 # T1, T2, T11, P1, P2 on a fitted LDA model --------------------------------------------
 # A model's numbers have no SQL twin; each query has one beside it that checks
 # what must hold for any fit: which documents, how many topics, sums, ranges.

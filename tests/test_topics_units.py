@@ -209,3 +209,29 @@ def test_grid_fits_take_the_operators_passes(monkeypatch):
         assert "passes" not in seen.args[0]
     else:
         raise AssertionError("no sweep")
+
+
+def test_coordinates_keep_plane_distances(spark):
+    """Points of a plane come back up to turns; signs by rule; one topic and none."""
+    import numpy as np
+
+    from ledgerlens.operators import topic_map as TM
+    p = np.random.default_rng(8).normal(size=(7, 2)) * (3, 1)
+    pairs = [(i, j, float(np.linalg.norm(p[i] - p[j]))) for i in range(7) for j in range(i + 1, 7)]
+    rows = TM.coordinates(spark.createDataFrame(pairs, "t1 int, t2 int, js double"), list(range(7))).orderBy("topic").collect()
+    x = np.array([(r.x1, r.x2) for r in rows])
+    assert all(abs(np.linalg.norm(x[i] - x[j]) - d) < 1e-9 for i, j, d in pairs)
+    assert (x[np.abs(x).argmax(axis=0), [0, 1]] > 0).all() and x[:, 0].var() > x[:, 1].var()
+    none = spark.createDataFrame([], "t1 int, t2 int, js double")
+    assert [tuple(r) for r in TM.coordinates(none, [4]).collect()] == [(4, 0.0, 0.0)]
+    assert TM.coordinates(none, []).collect() == []
+
+
+def test_rankings_and_token_shares(spark):
+    from ledgerlens.operators import topic_map as TM
+    phi = spark.createDataFrame([(0, "a", 0.8), (0, "b", 0.2), (1, "a", 0.5), (1, "c", 0.5), (1, "d", 0.0)], "topic int, term string, p double")
+    prev = spark.createDataFrame([(0, 0.25), (1, 0.75)], "topic int, share double")
+    got = {(r.term, r.topic): round(r.share, 9) for r in TM.token_shares(phi, prev).collect()}
+    assert got == {("a", 0): round(0.2 / 0.575, 9), ("a", 1): round(0.375 / 0.575, 9), ("b", 0): 1.0, ("c", 1): 1.0}
+    first = {(r.lam, r.topic): r.term for r in TM.rankings(phi, prev, (0.0, 1.0), 1).collect()}
+    assert first == {(0.0, 0): "b", (1.0, 0): "a", (0.0, 1): "c", (1.0, 1): "a"}       # by lift, by share; a and c tie in topic 1
