@@ -18,6 +18,11 @@ at any slot by a seek. Spark's own committer writes the files, so lost tasks
 leave nothing behind and any file system that Spark knows will do. On their
 way there sequences are compressed one by one.
 
+Beside the shards lie ``index`` (slot and its documents' pieces) and, written
+last, ``shape`` (one row: sequences, length, records a shard, key). So the path
+alone is enough for any later session: ``open_shards`` reads the shape, and
+``read_records`` goes on from any slot and leaves earlier shards unread.
+
 A task holds one record batch at a time; no group is gathered.
 
 Defined results: null text is a document of the end id alone. Texts of any
@@ -78,6 +83,7 @@ class Shards:
     sequences: int
     length: int
     per_shard: int
+    key: int
     index: DataFrame
 
     @property
@@ -89,6 +95,16 @@ class Shards:
         return slot // self.per_shard, slot % self.per_shard * self.stride
 
 
+_SPANS = "array<struct<doc_id:long,start:long,length:long,offset:long>>"
+_SHAPE = "sequences long, length long, per_shard long, key long"
+
+
+def open_shards(spark: SparkSession, path: str) -> Shards:
+    """The shards that some session wrote to the end under ``path``."""
+    n, length, per_shard, key = spark.read.schema(_SHAPE).parquet(f"{path}/shape").first()
+    return Shards(path, n, length, per_shard, key, spark.read.schema(f"slot long, docs {_SPANS}").parquet(f"{path}/index"))
+
+
 def cut_sequences(docs: DataFrame, length: int, vocabulary: str = VOCABULARY) -> DataFrame:
     """task, i, ids (16 bits each, compressed), n_ids (without filling), docs: one written row a sequence."""
     span = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("offset", pa.int64())]))
@@ -130,7 +146,7 @@ def cut_sequences(docs: DataFrame, length: int, vocabulary: str = VOCABULARY) ->
         yield out()
 
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        run, "task int, i long, ids binary, n_ids long, docs array<struct<doc_id:long,start:long,length:long,offset:long>>"), "sequences")
+        run, f"task int, i long, ids binary, n_ids long, docs {_SPANS}"), "sequences")
 
 
 def materialise(docs: DataFrame, path: str, length: int = 2048, per_shard: int = 2048, key: int = 20240229,
@@ -167,12 +183,13 @@ def materialise(docs: DataFrame, path: str, length: int = 2048, per_shard: int =
          .select("shard", F.col("ids").cast("string").alias("value"))
          .write.partitionBy("shard").option("lineSep", "\n\0").option("compression", "none").text(path))
         release_shuffles(spark)
-    index = with_slots("docs", "array<struct<doc_id:long,start:long,length:long,offset:long>>")
-    return Shards(path, n, length, per_shard, index)
+    with_slots("docs", _SPANS).write.parquet(f"{path}/index")
+    spark.createDataFrame([(n, length, per_shard, key)], _SHAPE).coalesce(1).write.parquet(f"{path}/shape")
+    return open_shards(spark, path)
 
 
-def read_records(spark: SparkSession, shards: Shards) -> DataFrame:
-    """slot, shard, byte_offset, ids_crc32: the CRC-32 of each record's ids as 32-bit numbers, read back from the files."""
+def read_records(spark: SparkSession, shards: Shards, first_slot: int = 0) -> DataFrame:
+    """slot, shard, byte_offset, ids_crc32 from ``first_slot`` on: the CRC-32 of each record's ids as 32-bit numbers, read back from the files."""
     stride, per_shard = shards.stride, shards.per_shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,14 +199,15 @@ def read_records(spark: SparkSession, shards: Shards) -> DataFrame:
                 records = np.frombuffer(content.as_buffer(), "<u2").reshape(-1, stride // 2)
                 if not (records[:, -1] == 10).all():
                     raise ValueError(f"{name} is not of stride {stride}")
-                k = np.arange(len(records))
-                crcs = [zlib.crc32(r.astype("<u4").tobytes()) for r in records[:, :-1]]
+                k = np.arange(max(first_slot - shard * per_shard, 0), len(records))
+                crcs = [zlib.crc32(r.astype("<u4").tobytes()) for r in records[k, :-1]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard * per_shard + k), pa.array(np.full(len(k), shard)), pa.array(k * stride), pa.array(crcs, pa.int64())],
                     names=["slot", "shard", "byte_offset", "ids_crc32"])
 
     schema = "slot long, shard long, byte_offset long, ids_crc32 long"
-    if not shards.sequences:
+    if first_slot >= shards.sequences:
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(shards.path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("basePath", shards.path).load(f"{shards.path}/shard=*")
+    files = files.where(F.col("shard") >= first_slot // per_shard)      # a partition column: earlier folders go unread
     return files.select("path", "content").mapInArrow(run, schema)

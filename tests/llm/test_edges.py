@@ -266,8 +266,17 @@ def test_materialise(awkward, awkward_pairs, no_docs, spark, tmp_path):
     assert seen == want
     back = {r["slot"]: r["ids_crc32"] for r in materialise.read_records(spark, shards).collect()}
     assert back == {k: zlib.crc32(data[k][:64].astype("<u4").tobytes()) for k in slots}
+    # a later session knows the path alone, and goes on where an earlier one stopped
+    later = spark.newSession()
+    found = materialise.open_shards(later, str(tmp_path / "s"))
+    assert (found.sequences, found.length, found.per_shard, found.key) == (len(data), 64, 50, 20240229)
+    assert {r["slot"]: r["docs"] for r in found.index.collect()} == slots
+    for first in (0, 1, 49, 50, 77, len(data) - 1, len(data)):
+        assert {r["slot"]: r["ids_crc32"] for r in materialise.read_records(later, found, first).collect()} == {k: c for k, c in back.items() if k >= first}
+    assert re.search(r"PartitionFilters: \[[^]]*shard#\d+ >= 1\)", materialise.read_records(later, found, 50)._jdf.queryExecution().toString())
     none = materialise.materialise(no_docs, str(tmp_path / "none"))
     assert none.sequences == 0 and materialise.read_records(spark, none).count() == 0
+    assert materialise.open_shards(later, str(tmp_path / "none")).index.count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])
