@@ -84,9 +84,15 @@ WITH p AS (
   FROM pages),
 o AS (SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels
       WHERE doc_id IS NOT NULL GROUP BY 1 HAVING max((quality = 0 OR toxic = 1)::INT) IS NOT NULL),
-hosts AS (SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix,
-                 count(bad) AS n, coalesce(sum(bad), 0) AS bad
-          FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+counts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
+                  regexp_replace(CASE WHEN host LIKE '%@%' THEN split_part(host, '@', -1) ELSE host END, '\.*(:[0-9]*)?\z', '') AS name
+           FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+labels_of AS (SELECT *, string_split(name, '.') AS parts,
+                     regexp_matches(name, '^([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|\[(?s:.*)\])\z') AS address FROM counts),
+ends AS (SELECT *, array_to_string(parts[-2:], '.') AS two, array_to_string(parts[-2:], '.') IN (@SUFFIXES@) AS long FROM labels_of),
+hosts AS (SELECT host, n, bad,
+                 CASE WHEN address THEN name WHEN long THEN array_to_string(parts[-3:], '.') ELSE two END AS domain,
+                 CASE WHEN address THEN '' WHEN long THEN two ELSE parts[-1] END AS suffix FROM ends),
 top AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM hosts),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT m FROM top) AS m FROM hosts GROUP BY suffix),
 sk AS (SELECT coalesce(CASE WHEN sum(m * (1 - m) * (n - 1)) > 0 THEN
@@ -115,7 +121,7 @@ SELECT page_id, p.host, p.path, hit.rule,
        coalesce(hit.verdict, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
        round(rate, 9) AS host_rate, round(bound, 9) AS host_bound
 FROM p JOIN rep ON p.host = rep.host LEFT JOIN hit ON p.host = hit.host AND p.path = hit.path
-"""
+""".replace("@SUFFIXES@", ", ".join(f"'{s}'" for s in url_filter.SUFFIXES))
 
 OP10_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),

@@ -1,9 +1,11 @@
 """URL filter by Empirical-Bayes host reputation, under explicit rules.
 
 Outcomes of labelled pages (bad or not) are counted per host. A host's bad
-rate is shrunk by beta-binomial priors from the whole set to the suffix (last
-label), to the registered domain (last two labels), to the host: each level's
-posterior mean is the prior mean of the next, with a prior strength that the
+rate is shrunk by beta-binomial priors from the whole set to the public suffix, to
+the registered domain (the suffix and one label more), to the host. A suffix is the
+last label, or the last two where they are one of ``SUFFIXES``; for both, user
+names, ports and closing dots of a host don't count, and an address is its own
+domain, under the empty suffix. Each level's posterior mean is the prior mean of the next, with a prior strength that the
 data set by the method of moments. A host is blocked when the lower bound of
 its posterior is above ``max_bad``. Explicit rules override the verdict.
 
@@ -14,7 +16,7 @@ shuffle join of two exchanges whose hot key AQE splits.
 
 Defined results: null url or no ``://``: host and path empty, judged as the
 host ''. Labels without a page, null labels: not counted. Repeated labels of a
-page: the page is bad if any says so. Repeated pages: one row each. No labels
+page: the page is bad if any says so. Repeated pages: one row each, counted each. No labels
 at all: every host is allowed. Extra columns are ignored.
 """
 
@@ -30,6 +32,19 @@ from .common import small, written
 #: (verdict, rule) as the query fixes them.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
+# FIXED VALUES: public suffixes of two labels under which names are registered.
+SUFFIXES = (
+    "ac.at", "co.at", "or.at", "com.ar", "org.ar", "com.au", "edu.au", "gov.au", "net.au", "org.au",
+    "com.br", "gov.br", "net.br", "org.br", "ac.cn", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn",
+    "com.co", "com.eg", "com.hk", "org.hk", "co.id", "go.id", "or.id", "ac.il", "co.il", "org.il",
+    "ac.in", "co.in", "gov.in", "net.in", "org.in", "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp",
+    "ac.kr", "co.kr", "go.kr", "or.kr", "com.mx", "gob.mx", "org.mx", "com.my", "com.ng", "ac.nz",
+    "co.nz", "govt.nz", "net.nz", "org.nz", "com.pe", "com.ph", "com.pk", "com.pl", "org.pl", "com.sa",
+    "com.sg", "edu.sg", "co.th", "or.th", "com.tr", "edu.tr", "org.tr", "com.tw", "edu.tw", "org.tw",
+    "com.ua", "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk",
+    "sch.uk", "com.ve", "com.vn", "ac.za", "co.za", "gov.za", "org.za")
+_ADDRESS = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[(?s:.*)\])\z"
+
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; else ''."""
@@ -42,6 +57,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """struct(suffix, domain) of a host. A host that is a suffix itself is its own domain."""
+    name = F.regexp_replace(F.regexp_replace(host, r"^(?s:.*)@", ""), r"\.*(:[0-9]*)?\z", "")
+    two = F.regexp_extract(name, r"([^.]*\.)?[^.]*$", 0)
+    three = F.regexp_extract(name, r"([^.]*\.)?([^.]*\.)?[^.]*$", 0)
+    long = two.isin(*suffixes) if suffixes else F.lit(False)
+    address = name.rlike(_ADDRESS)
+    suffix = F.when(address, F.lit("")).when(long, two).otherwise(F.regexp_extract(name, r"[^.]*$", 0))
+    return F.struct(suffix.alias("suffix"), F.when(address, name).when(long, three).otherwise(two).alias("domain"))
+
+
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits; null when none does.
 
@@ -73,7 +99,8 @@ def _shrunk(children: DataFrame, prior: str) -> DataFrame:
     return children.withColumn("k", k.scalar())
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, max_bad: float = 0.5) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, max_bad: float = 0.5,
+                    suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """host, n, bad, rate (posterior mean), bound (lower posterior bound), blocked for every host of ``pages``.
 
     ``outcomes`` is (page_id, bad boolean), one row a labelled page. Hosts without labelled pages
@@ -83,9 +110,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, max
     o = outcomes.select(F.col("page_id").alias("id"), "bad")
     hosts = (p.join(o, "id", "left")
              .groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad")))
-    hosts = written(hosts.select(
-        "host", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0).alias("domain"),
-        F.regexp_extract("host", r"[^.]*$", 0).alias("suffix"), "n", "bad"), "hosts")
+    hosts = written(hosts.select("host", domain_of(F.col("host"), suffixes).alias("d"), "n", "bad").select(
+        "host", "d.domain", "d.suffix", "n", "bad"), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # the whole set's rate, from one page of each outcome more than there are
@@ -113,9 +139,9 @@ def page_outcomes(labels: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES,
-               z: float = 1.645, max_bad: float = 0.5) -> DataFrame:
+               z: float = 1.645, max_bad: float = 0.5, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict ('allow' or 'block'), host_rate, host_bound: one row a page."""
-    rep = written(host_reputation(pages, outcomes, z, max_bad), "reputation")
+    rep = written(host_reputation(pages, outcomes, z, max_bad, suffixes), "reputation")
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     j = p.join(small(rep.select("host", "rate", "bound", "blocked")), "host", "left")
     r = matching_rule(F.col("host"), F.col("path"), rules)

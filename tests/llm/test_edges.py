@@ -9,9 +9,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import exact, graph, lines, materialise, mixing, packing, quality, simhash, substrings, token_counts, tokenizer, url_filter
+from ledgerlens.llm import exact, graph, lines, materialise, mixing, packing, quality, queries, simhash, substrings, token_counts, tokenizer, url_filter
 from tests.llm import brute
 
 
@@ -336,6 +337,38 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), none).count() == 0
 
 
+def test_registered_domains(spark):
+    want = {"a.co.uk": ("co.uk", "a.co.uk"), "www.b.co.uk": ("co.uk", "b.co.uk"), "x.y.b.co.uk.": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"),
+            "www.a.com:8080": ("com", "a.com"), "a.com": ("com", "a.com"), "u:p@www.a.com:": ("com", "a.com"), "a.com..": ("com", "a.com"),
+            "10.0.0.1": ("", "10.0.0.1"), "10.0.0.1:80": ("", "10.0.0.1"), "10.0.0.2": ("", "10.0.0.2"), "[::1]:443": ("", "[::1]"),
+            "1.2.3.4.5": ("5", "4.5"), "localhost": ("localhost", "localhost"), "": ("", ""), ".": ("", ""), "a.com.\n": ("\n", "com.\n"), "x\n@a.com": ("com", "a.com"), "é.co.jp": ("co.jp", "é.co.jp")}
+    df = spark.createDataFrame([(h,) for h in want], "host string").select("host", url_filter.domain_of(F.col("host")).alias("d"))
+    assert {r["host"]: tuple(r["d"]) for r in df.collect()} == want
+    plain = spark.createDataFrame([("a.co.uk",)], "host string").select(url_filter.domain_of(F.col("host"), ()).alias("d")).first()["d"]
+    assert tuple(plain) == ("uk", "co.uk")
+
+
+def test_a_bad_host_leaves_other_names_of_its_suffix_alone(spark, tmp_path):
+    """Hosts under co.uk are no family; repeated page rows; and the SQL says the same of ports, addresses and long suffixes."""
+    import duckdb
+    hosts = ["bad.co.uk"] * 60 + ["www.bad.co.uk:81"] * 3 + ["new.bad.co.uk"] + ["good.co.uk"] * 120 + ["new.co.uk", "10.0.0.1%0A", "a\n.com.\n", "x@y\n@b.co.uk", "10.0.0.1", "10.0.0.2:80", "u@ok.com.", "."]
+    pages = [(i, f"http://{h}/p", h) for i, h in enumerate(hosts)] + [(0, "http://bad.co.uk/p", ""), (70, "http://good.co.uk/p", ""), (None, None, None)]
+    labels = [(i, 0 if "bad.co" in h else 1, 0) for i, h in enumerate(hosts) if "new" not in h]
+    spark.createDataFrame(pages, "page_id long, url string, host string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.QUERIES["op1_url_filters"](spark, str(tmp_path))
+    verdicts = {(r["host"], r["verdict"]) for r in got.collect()}
+    assert ("bad.co.uk", "block") in verdicts and ("good.co.uk", "allow") in verdicts and ("new.co.uk", "allow") in verdicts
+    rate = {r["host"]: r["host_rate"] for r in got.collect()}
+    assert rate["new.bad.co.uk"] > 0.5 > rate["new.co.uk"]
+    assert got.count() == len(pages)
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE_SQL["op1_url_filters"]).fetchall()
+    assert sorted(map(key, want)) == sorted(map(key, (tuple(r) for r in got.collect())))
+
+
 def test_reputation_blocks_only_what_the_outcomes_carry(spark):
     pages, bad = [], []
     for host, n, b in (("bad.a.com", 40, 38), ("few.a.com", 2, 2), ("good.a.com", 300, 6), ("new.a.com", 1, None), ("x.b.org", 50, 0)):
