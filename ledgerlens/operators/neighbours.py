@@ -3,10 +3,12 @@
 ``nearest`` is a self-join over several tables of random-projection buckets:
 in each table a row's bucket is the signs of ``bits`` random projections of its
 centred vector, so near rows often share one. Rows meet inside buckets only,
-as blocks: a bucket is cut by a hash of the row into as many blocks as its size
-asks for, each pair of blocks of one bucket is one matrix product, and of each
-product only the best ``k`` of every row go on. A hot bucket is therefore many
-small tasks, and no list of all its pairs is ever made. A pair that several
+as blocks: a bucket is cut by a hash of the row into ``BLOCKS`` blocks (fewer if it
+is small, more where a block would be beyond ``MOST`` rows), each pair of blocks of
+one bucket is one group, its matrix products are made in tiles, and
+only the best ``k`` of every row go on. A hot bucket is therefore many
+tasks, each row is sent ``BLOCKS`` times whatever the size of its bucket up to
+``BLOCKS * MOST`` rows, and no list of all its pairs is ever made. A pair that several
 tables find counts once; the best ``k`` by exact distance stay.
 
 ``bits=0`` puts all rows in one bucket of one table: the same plan is then the
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 
 from ..session import write_once
 
-#: Rows of a block: two of them and their product are what a task holds.
-BLOCK = 2048
+#: Blocks of a bucket: how often each of its rows is sent out, and rows of a
+#: block at least and at most. Two blocks, and ``TILE`` squared of their product, are what a task holds.
+BLOCKS, BLOCK, MOST = 12, 2048, 65_536
+TILE = 1024
 
 
 def usable(rows: DataFrame, key: str, features: str) -> DataFrame:
@@ -90,7 +94,9 @@ def buckets(vectors: DataFrame, width: int, tables: int, bits: int, seed: int =
 
 def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
     """Rows (key, v, code) grouped by pairs (a, b), a <= b, of blocks of one bucket, with the row's own block."""
-    sizes = rows.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    n = F.count(F.lit(1))
+    blocks = F.greatest(F.least(F.ceil(n / block), F.lit(BLOCKS)), F.ceil(n / max(block, MOST)))
+    sizes = rows.groupBy("code").agg(blocks.cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # a row a bucket: the tables times 2 ** bits at most, so the rows themselves don't move for it
     dealt = rows.join(F.broadcast(sizes), "code").withColumn("own", own)
@@ -108,6 +114,44 @@ def exact_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.round(np.sqrt(((x - y) ** 2).sum(axis=1)), 9)
 
 
+def _nearest_of(lk: np.ndarray, lx: np.ndarray, rk: np.ndarray, rx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, exact distance): of each left row the ``k`` nearest right rows but itself; ties: the smaller key.
+
+    The products are made in tiles; from each a row takes only what may be
+    nearer than the ``k``-th it has, so no more than a tile is held.
+    """
+    squares = (rx * rx).sum(axis=1).max(initial=0)
+    out = []
+    for i in range(0, len(lk), TILE):
+        keys, x = lk[i:i + TILE], lx[i:i + TILE]
+        # a product is less exact than the differences
+        slack = 1e-10 * (1 + (x * x).sum(axis=1) + squares)
+        kth = np.full(len(x), np.inf)
+        at, to, exact = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for j in range(0, len(rk), TILE):
+            d = _product_distances(x, rx[j:j + TILE])
+            bound = (kth + 1e-9) ** 2 + slack
+            few = np.isinf(kth)
+            if few.any():
+                m = min(k + 1, d.shape[1])
+                bound[few] = np.partition(d[few], m - 1, axis=1)[:, m - 1] + slack[few]
+            a, t = np.nonzero(d <= bound[:, None])
+            keep = keys[a] != rk[j + t]
+            a, t = a[keep], t[keep] + j
+            if not len(a):
+                continue
+            found = np.concatenate([exact_distances(x[a[s:s + 8192]], rx[t[s:s + 8192]]) for s in range(0, len(a), 8192)])
+            at, to, exact = np.append(at, a), np.append(to, t), np.append(exact, found)
+            sort = np.lexsort((rk[to], exact, at))
+            sort = sort[np.arange(len(at)) - np.searchsorted(at[sort], at[sort]) < k]
+            at, to, exact = at[sort], to[sort], exact[sort]
+            last = np.searchsorted(at, np.arange(len(x)), "right") - 1
+            full = np.bincount(at, minlength=len(x)) == k
+            kth[full] = exact[last[full]]
+        out.append((keys[at], rk[to], exact))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def nearest(rows: DataFrame, key: str, features: str, k: int = 10, tables: int = 1, bits: int = 0, seed: int = 1, block: int = BLOCK) -> DataFrame:
     """u, rank (from 1 on), v, distance: the ``k`` nearest other rows of every row; ties: the smaller key. Written. ``key`` is unique."""
     vectors = write_once(usable(rows, key, features), "vectors")
@@ -122,26 +166,14 @@ def nearest(rows: DataFrame, key: str, features: str, k: int = 10, tables: int =
         found = []
         for left, right in ((a, b), (b, a)) if a != b else ((a, a),):
             lk, lx, rk, rx = keys[own == left], x[own == left], keys[own == right], x[own == right]
-            few = min(k + (left == right), len(rk))
-            if not len(lk) or not few:
-                continue
-            d = _product_distances(lx, rx)
-            # the k-th smallest, and all that may tie with it: a product is less exact than the differences
-            near = np.partition(d, few - 1, axis=1)[:, few - 1:few] + 1e-10 * (1 + (lx * lx).sum(axis=1) + (rx * rx).sum(axis=1).max())[:, None]
-            at, to = np.nonzero(d <= near)
-            keep = lk[at] != rk[to]
-            at, to = at[keep], to[keep]
-            exact = np.concatenate([exact_distances(lx[at[i:i + 8192]], rx[to[i:i + 8192]]) for i in range(0, len(at), 8192)]) if len(at) else np.zeros(0)
-            sort = np.lexsort((rk[to], exact, at))
-            at, to, exact = at[sort], to[sort], exact[sort]
-            first = np.searchsorted(at, at)
-            take = np.arange(len(at)) - first < k
-            found.append((lk[at[take]], rk[to[take]], exact[take]))
+            if len(lk) and len(rk):
+                found.append(_nearest_of(lk, lx, rk, rx, k))
         u, v, d = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "distance": pa.array(d, pa.float64())})
 
     pairs = _block_pairs(buckets(vectors, width, tables, bits, seed), block).applyInArrow(best, "u long, v long, distance double")
-    once = pairs.groupBy("u", "v").agg(F.min("distance").alias("distance"))
+    # dealt by u, pairs found in several tables meet and the ranks below need no second shuffle
+    once = pairs.repartition("u").groupBy("u", "v").agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("u").orderBy("distance", "v")
     return write_once(once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("u", "rank", "v", "distance"), "nearest")
 

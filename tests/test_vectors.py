@@ -93,6 +93,33 @@ def test_a_hot_bucket_is_many_groups(spark):
     assert {(r["u"], r["distance"]) for r in got.collect()} == {(i, 0.0) for i in range(3000)} and got.count() == 9000
 
 
+def test_rows_are_sent_out_in_proportion(spark):
+    """Ten times the rows are ten times the rows sent out, until a block would be too large for a task."""
+    def sent(n, block):
+        df = spark.range(n).selectExpr("id AS key", "array(1.0D) AS v", "0L AS code")
+        return sum(r["count"] for r in neighbours._block_pairs(df, block).count().collect())
+
+    assert sent(3000, 10) == 3000 * neighbours.BLOCKS and sent(30000, 10) == 30000 * neighbours.BLOCKS
+
+
+def test_tiles_find_the_nearest(monkeypatch):
+    """Ties, copies and a row among its own neighbours, over tiles that cut them anywhere."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(neighbours, "TILE", 7)
+    x = np.round(rng.normal(size=(40, 3)), 1)
+    x[10:25] = x[3]
+    keys = rng.permutation(40)
+    order = np.argsort(keys)
+    keys, x = keys[order], x[order]
+    for k in (1, 4, 39, 60):
+        u, v, d = neighbours._nearest_of(keys, x, keys, x, k)
+        want = []
+        for i in range(40):
+            e = neighbours.exact_distances(np.repeat(x[i:i + 1], 40, axis=0), x)
+            want += [(keys[i], keys[j], e[j]) for j in sorted((j for j in range(40) if j != i), key=lambda j: (e[j], keys[j]))[:k]]
+        assert sorted(zip(u, v, d)) == sorted(want)
+
+
 def test_nearest_centroid(spark):
     df = spark.createDataFrame([(1, [3.0, 0.1]), (2, [0.0, 2.0]), (3, [1.0, 1.0]), (4, []), (5, [0.0, 0.0, 9.0])], "key long, e array<double>")
     got = neighbours.nearest_centroid(df, [(7, [0.0, 5.0]), (4, [1.0, 0.0])], "key", "e").collect()
