@@ -235,3 +235,18 @@ def test_rankings_and_token_shares(spark):
     assert got == {("a", 0): round(0.2 / 0.575, 9), ("a", 1): round(0.375 / 0.575, 9), ("b", 0): 1.0, ("c", 1): 1.0}
     first = {(r.lam, r.topic): r.term for r in TM.rankings(phi, prev, (0.0, 1.0), 1).collect()}
     assert first == {(0.0, 0): "b", (1.0, 0): "a", (0.0, 1): "c", (1.0, 1): "a"}       # by lift, by share; a and c tie in topic 1
+
+
+def test_scores_do_not_depend_on_how_terms_meet(spark, monkeypatch):
+    """Few weights go to the terms, many meet them by a shuffle; a document's terms move in the second case alone."""
+    from ledgerlens.operators import clusters as CL
+    rows = [(i % 40 or None, [f"w{j % 13}" for j in range(i, i + 9)] * (1 + i % 2), i % 4 - 1) for i in range(60)] + [(77, [], 0), (78, None, 1)]
+    docs = spark.createDataFrame(rows, "row long, tokens array<string>, cluster int")
+    v = CL.topic_vectors(docs, "cluster")
+    got, moved = [], []
+    for most in (10**6, 0):
+        monkeypatch.setattr(CL, "MOST_WEIGHTS", most)
+        scores = CL.topic_scores(docs, v, "row")
+        got.append(sorted((r["row"] or 0, r["topic"], round(r["score"], 9)) for r in scores.collect()))
+        moved.append(scores._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+    assert got[0] == got[1] and len(got[0]) > 100 and moved[0] < moved[1]
