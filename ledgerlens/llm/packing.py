@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release_shuffles, text_of, written
-from .tokenizer import VOCABULARY, pieces
+from .tokenizer import VOCABULARY, forget, pieces
 
 END = (1).to_bytes(2, "little")
 K1, BM25_B = 1.2, 0.75
@@ -237,13 +237,15 @@ def pack(docs: DataFrame, window: int = 2048, vocabulary: str = VOCABULARY, shar
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())],
                                              names=[*b.schema.names, "term1", "term2"])
 
-    routed = tails.mapInArrow(route, "row long, doc_id long, n_tokens long, tail binary, bag binary, term1 int, term2 int")
+    # written: the ranges are drawn from a sample of the terms alone, so no part is routed twice
+    routed = written(tails.mapInArrow(route, "row long, doc_id long, n_tokens long, tail binary, bag binary, term1 int, term2 int"), "routed")
     shards = routed.repartitionByRange(max(1, math.ceil(total / shard_tokens)), "term1", "term2", "doc_id", "row")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if t is None or not t.num_rows:
             return
+        forget(vocabulary)
         t = t.sort_by([(c, "ascending") for c in ("term1", "term2", "doc_id", "row")])
         idf, average = weights.value
         parts = [np.frombuffer(x.as_buffer(), "<u2") for x in t.column("tail")]

@@ -66,39 +66,50 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class Pieces(dict):
-    """pre-token -> its ids as little-endian unsigned 16-bit bytes.
+    """Word between ASCII white space, as UTF-8 bytes -> its ids as little-endian unsigned 16-bit bytes.
 
-    Holds two generations of at most ``limit`` entries: when the younger is
-    full it becomes the older, so what is used goes on being known.
+    No pre-token reaches across white space, so a text's ids are its words' ids
+    in order, and a known word costs one look-up. Holds two generations of at
+    most ``limit`` words: when the younger is full it becomes the older, so
+    what is used goes on being known. Words of more than ``LONG`` bytes are not kept.
     """
 
-    def __init__(self, vocabulary: str = VOCABULARY, limit: int = 400_000):
+    LONG = 64
+
+    def __init__(self, vocabulary: str = VOCABULARY, limit: int = 600_000):
         super().__init__()
         self.tok, self.limit, self.older = load(vocabulary), limit, {}
         self.model, self.alphabet = self.tok.model, _byte_alphabet()
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
 
+    def _plain(self, unit: str) -> list[int]:
+        """The ids of a unit that is normalised and split already: the library's model alone is asked."""
+        shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.alphabet)
+        return [t.id for t in self.model.tokenize(shown)]
+
     def encode(self, unit: str) -> list[int]:
-        """The unit's ids. A plain one is normalised and split already, so the library's model alone is asked."""
+        """The unit's ids."""
         if _PLAIN.fullmatch(unit):
-            shown = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.alphabet)
-            return [t.id for t in self.model.tokenize(shown)]
+            return self._plain(unit)
         return self.tok.encode(unit, add_special_tokens=False).ids
 
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        out = self.older.get(unit)
+    def __missing__(self, word: bytes) -> bytes:
+        out = self.older.get(word)
         if out is None:
-            ids = self.encode(unit)
+            text = word.decode("utf-8", "surrogatepass")
+            ids = [i for u in _PIECE.findall(text.lower()) for i in self._plain(u)] if _PLAIN.fullmatch(text) else self.encode(text)
             out = struct.pack(f"<{len(ids)}H", *ids)
-        self[unit] = out
+        if len(word) <= self.LONG:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[word] = out
         return out
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, pre_tokens(text)))
+        # bytes are split at the six ASCII white space characters alone
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "surrogatepass").split()))
 
 
 def pieces(vocabulary: str = VOCABULARY) -> Pieces:
@@ -107,3 +118,8 @@ def pieces(vocabulary: str = VOCABULARY) -> Pieces:
     if key not in _loaded:
         _loaded[key] = Pieces(vocabulary)
     return _loaded[key]
+
+
+def forget(vocabulary: str = VOCABULARY) -> None:
+    """Give the worker's piece cache up, for a step that needs the memory and encodes nothing."""
+    _loaded.pop(("pieces", vocabulary), None)

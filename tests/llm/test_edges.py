@@ -210,6 +210,22 @@ def test_pre_tokens_give_the_library_s_ids():
         assert np.frombuffer(cache.ids(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_are_encoded_once_and_kept_in_bounds(monkeypatch):
+    cache = tokenizer.Pieces(limit=50)
+    asked = []
+    for name in ("encode", "_plain"):
+        monkeypatch.setattr(cache, name, lambda unit, real=getattr(cache, name): asked.append(unit) or real(unit))
+    first = cache.ids("Some words, twice.\x1cone\u2003word")
+    n = len(asked)
+    assert n and cache.ids("Some words, twice.\x1cone\u2003word") == first and len(asked) == n
+    tok = brute.tokenizer()
+    for i in range(400):
+        text = f"word{i % 90} {'x' * i} common\tÉ{i}"
+        assert np.frombuffer(cache.ids(text), "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert max(map(len, (cache, cache.older))) <= 50
+        assert max(map(len, cache)) <= cache.LONG
+
+
 def test_packing(awkward, awkward_pairs, no_docs):
     distinct = [p for i, p in enumerate(awkward_pairs) if p not in ((3, "short"), (4, "short"))]
     docs = awkward.where("coalesce(text, '') <> 'short'")
