@@ -226,6 +226,7 @@ def pack(docs: DataFrame, window: int = 2048, vocabulary: str = VOCABULARY, shar
     total = tails.agg(F.sum(F.greatest(F.col("n_tokens") % window, F.octet_length("bag") / 6))).first()[0] or 0
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(vocabulary)
         idf, average = weights.value
         for b in batches:
             first, second = [], []

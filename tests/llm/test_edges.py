@@ -210,20 +210,21 @@ def test_pre_tokens_give_the_library_s_ids():
         assert np.frombuffer(cache.ids(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
-def test_words_are_encoded_once_and_kept_in_bounds(monkeypatch):
-    cache = tokenizer.Pieces(limit=50)
-    asked = []
-    for name in ("encode", "_plain"):
-        monkeypatch.setattr(cache, name, lambda unit, real=getattr(cache, name): asked.append(unit) or real(unit))
-    first = cache.ids("Some words, twice.\x1cone\u2003word")
-    n = len(asked)
-    assert n and cache.ids("Some words, twice.\x1cone\u2003word") == first and len(asked) == n
-    tok = brute.tokenizer()
-    for i in range(400):
-        text = f"word{i % 90} {'x' * i} common\tÉ{i}"
-        assert np.frombuffer(cache.ids(text), "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids
-        assert max(map(len, (cache, cache.older))) <= 50
-        assert max(map(len, cache)) <= cache.LONG
+def test_a_worker_s_pieces_can_be_given_up():
+    one = tokenizer.pieces()
+    assert tokenizer.pieces() is one
+    tokenizer.forget()
+    tokenizer.forget()
+    two = tokenizer.pieces()
+    assert two is not one and not two and two.ids("again") == one.ids("again")
+
+
+def test_parts_are_routed_once(awkward, monkeypatch):
+    """The sample that the ranges are drawn from reads written terms: nothing in Python runs between it and the files."""
+    tables = []
+    monkeypatch.setattr(packing, "written", lambda df, tag, write=packing.written: tables.append(tag) or write(df, tag))
+    plan = packing.pack(awkward)._jdf.queryExecution().optimizedPlan().toString()
+    assert "routed" in tables and plan.count("MapInArrow") == 1
 
 
 def test_packing(awkward, awkward_pairs, no_docs):
