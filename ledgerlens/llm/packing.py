@@ -58,10 +58,19 @@ def _bag_bytes(ids: np.ndarray) -> bytes:
     return terms.astype("<u2").tobytes() + counts[terms].astype("<u4").tobytes()
 
 
+def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids and how often each comes, as ``np.unique`` gives them; 16-bit ids go through a radix sort."""
+    s = np.sort(ids, kind="stable")
+    first = np.ones(len(s) + 1, bool)      # where another id begins, the end included
+    np.not_equal(s[1:], s[:-1], out=first[1:-1])
+    at = np.flatnonzero(first)
+    return s[at[:-1]], np.diff(at)
+
+
 def _bag(tail: np.ndarray, bag, n_tokens: int) -> Bag:
     """``bag`` as written by ``_bag_bytes``; null: the tail is the whole document."""
     if bag is None:
-        return *np.unique(tail, return_counts=True), len(tail)
+        return *_counted(tail), len(tail)
     n = len(bag) // 6
     return np.frombuffer(bag, "<u2", n), np.frombuffer(bag, "<u4", n, 2 * n), n_tokens
 

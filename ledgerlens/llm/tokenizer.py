@@ -21,7 +21,8 @@ import struct
 VOCABULARY = "word_bpe_49k.json"
 
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x26\x28-\x3b\x3d-\x7eÀ-ÖØ-öø-ÿ]*")
-_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: For plain text, whose white space is that of ASCII: named by its characters the set is one look-up a character.
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\x09-\x0d\x20a-z0-9ß-öø-ÿ]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 _loaded: dict = {}
