@@ -27,9 +27,11 @@ row. No rows: no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +77,59 @@ def _bag(tail: np.ndarray, bag, n_tokens: int) -> Bag:
     return np.frombuffer(bag, "<u2", n), np.frombuffer(bag, "<u4", n, 2 * n), n_tokens
 
 
-def _bags(b: pa.RecordBatch | pa.Table) -> Iterator[Bag]:
-    """The whole documents of the columns tail, bag and n_tokens."""
-    for t, bag, n in zip(b.column("tail"), b.column("bag").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
-        yield _bag(np.frombuffer(t.as_buffer(), "<u2"), bag, n)
+class Bags(NamedTuple):
+    """Whole documents, one after the other: ``terms`` (rising within a document) and their ``counts``; those of document i
+    begin at ``starts[i]`` (one more than documents); ``lengths`` are the numbers of ids."""
+
+    terms: np.ndarray
+    counts: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.lengths)), np.diff(self.starts))
+
+
+def _bags(tails: list[np.ndarray], bags: list, n_tokens: list[int]) -> Bags:
+    """The documents of the columns tail, bag and n_tokens: those without a bag are counted together, by one sort of document and id."""
+    size = np.array([len(t) if b is None else 0 for t, b in zip(tails, bags, strict=True)], np.int64)
+    lengths = np.where([b is None for b in bags], size, np.array(n_tokens, np.int64))
+    wide = np.uint32 if len(tails) <= 1 << 16 else np.uint64
+    keys = np.repeat(np.arange(len(tails), dtype=wide) << wide(16), size)
+    if len(keys):
+        keys |= np.concatenate([t for t, b in zip(tails, bags, strict=True) if b is None])
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(first, append=len(keys))
+    owner, terms = (keys[first] >> wide(16)).astype(np.int64), (keys[first] & wide(0xFFFF)).astype(np.uint16)
+    given = [i for i, b in enumerate(bags) if b is not None]
+    if given:
+        read = [_bag(tails[i], bags[i], 0) for i in given]
+        owner = np.concatenate([owner, np.repeat(given, [len(r[0]) for r in read])])
+        order = np.argsort(owner, kind="stable")      # two rising runs: merged
+        owner = owner[order]
+        terms = np.concatenate([terms, *(r[0] for r in read)])[order]
+        counts = np.concatenate([counts, *(r[1] for r in read)])[order]
+    return Bags(terms, counts, np.searchsorted(owner, np.arange(len(tails) + 1)), lengths)
+
+
+def _joined(bags: list[Bag]) -> Bags:
+    """Documents one by one as they come, together."""
+    size = [len(b[0]) for b in bags]
+    terms, counts = (np.concatenate([np.zeros(0, np.uint16), *(b[i] for b in bags)]) for i in range(2))
+    return Bags(terms, counts, np.cumsum([0, *size]), np.array([b[2] for b in bags], np.int64))
+
+
+def _read_bags(b: pa.RecordBatch, at_once: int = 1 << 20) -> Iterator[Bags]:
+    """The documents of a batch in order, those of about ``at_once`` ids or bytes together."""
+    tails = [np.frombuffer(t.as_buffer(), "<u2") for t in b.column("tail")]
+    bags, n_tokens = b.column("bag").to_pylist(), b.column("n_tokens").to_pylist()
+    size = np.cumsum([len(t) if g is None else len(g) for t, g in zip(tails, bags, strict=True)])
+    cuts = [0, *(np.flatnonzero(np.diff(size // at_once)) + 1).tolist(), len(tails)]
+    for lo, hi in itertools.pairwise(cuts):
+        if hi > lo:
+            yield _bags(tails[lo:hi], bags[lo:hi], n_tokens[lo:hi])
 
 
 def tokenised(docs: DataFrame, window: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -117,9 +168,9 @@ def term_weights(docs: DataFrame) -> tuple[np.ndarray, float]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, total = np.zeros(_TERMS, np.int64), 0, 0
         for b in batches:
-            for terms, _, length in _bags(b):
-                df[terms] += 1
-                n, total = n + 1, total + length
+            for docs in _read_bags(b):
+                df += np.bincount(docs.terms, minlength=_TERMS)
+                n, total = n + len(docs.lengths), total + int(docs.lengths.sum())
         at = np.flatnonzero(df)
         # -1 and -2 stand for the number of documents and of ids
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, total]))], names=["term", "n"])
@@ -133,40 +184,67 @@ def term_weights(docs: DataFrame) -> tuple[np.ndarray, float]:
     return idf, total / max(n, 1)
 
 
-def _bm25(bag: Bag, idf: np.ndarray, average: float) -> tuple[np.ndarray, np.ndarray]:
-    """The weighted terms of a document: (terms, weights), both without those of no weight."""
-    terms, tf, length = bag
-    w = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - BM25_B + BM25_B * length / average))
-    at = w > 0
-    return terms[at], w[at]
+def _bm25(docs: Bags, idf: np.ndarray, average: float) -> np.ndarray:
+    """The weight of each term of each document; not positive: the term has none."""
+    tf = docs.counts
+    norm = np.repeat(K1 * (1 - BM25_B + BM25_B * docs.lengths / average), np.diff(docs.starts))
+    return idf[docs.terms] * tf * (K1 + 1) / (tf + norm)
+
+
+def _telling(docs: Bags, idf: np.ndarray, average: float) -> tuple[np.ndarray, np.ndarray]:
+    """The heaviest and the next heaviest term of each document (ties: the smaller id); -1: none has weight."""
+    weight = _bm25(docs, idf, average)
+    begin = docs.starts[:-1]
+    some = np.flatnonzero(np.diff(docs.starts))
+    out = []
+    for _ in range(2):
+        top = np.full(len(begin), -1, np.int32)
+        if len(some):
+            best = np.maximum.reduceat(weight, begin[some])
+            hit = np.flatnonzero(weight == np.repeat(best, np.diff(docs.starts)[some]))
+            at = hit[np.searchsorted(hit, begin[some])]      # the first of each document
+            top[some] = np.where(best > 0, docs.terms[at].astype(np.int32), -1)
+            weight[at] = 0.0
+        out.append(top)
+    return out[0], out[1]
 
 
 class ShardIndex:
     """Inverted BM25 index over the documents of the parts of one shard."""
 
-    def __init__(self, bags: list[Bag], idf: np.ndarray, average: float):
-        self.n = len(bags)
-        self.terms, weights = zip(*(_bm25(b, idf, average) for b in bags), strict=True)
-        owner = np.repeat(np.arange(self.n), [len(t) for t in self.terms])
-        flat = np.concatenate(self.terms)
+    def __init__(self, bags: Bags, idf: np.ndarray, average: float):
+        self.n = len(bags.lengths)
+        weight = _bm25(bags, idf, average)
+        at = np.flatnonzero(weight > 0)
+        flat, owner, weight = bags.terms[at], bags.owner[at], weight[at]
+        self.terms = np.split(flat, np.searchsorted(owner, np.arange(1, self.n)))
         order = np.argsort(flat, kind="stable")
-        self.owner, self.weight = owner[order], np.concatenate(weights)[order]
+        self.owner, self.weight = owner[order], weight[order]
         self.start = np.searchsorted(flat[order], np.arange(_TERMS + 1))
 
+    def keep(self, documents: np.ndarray) -> None:
+        """From now on only ``documents`` (a mask) have scores; what those are doesn't change."""
+        stay = documents[self.owner]
+        self.start = np.concatenate([[0], np.cumsum(stay)])[self.start]
+        self.owner, self.weight = self.owner[stay], self.weight[stay]
+
     def scores(self, part: int) -> np.ndarray:
-        """BM25 of every document of the shard for the query of the terms of ``part``'s."""
+        """BM25 of every document of the shard that is kept for the query of the terms of ``part``'s."""
         terms = self.terms[part].astype(np.int64)
         lo, n = self.start[terms], self.start[terms + 1] - self.start[terms]
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.bincount(self.owner[at], self.weight[at], minlength=self.n)
 
 
-def fill_windows(parts: list[np.ndarray], idf: np.ndarray, average: float, window: int, bags: list[Bag] | None = None) -> Iterator[list[tuple[int, int, int]]]:
+def fill_windows(parts: list[np.ndarray], idf: np.ndarray, average: float, window: int, bags: Bags | list[Bag] | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (part, start, length); all but the last ``window`` long. ``bags``: the whole documents, by default the parts."""
-    index = ShardIndex(bags or [_bag(p, None, 0) for p in parts], idf, average)
+    if not isinstance(bags, Bags):
+        bags = _joined(bags) if bags else _bags(parts, [None] * len(parts), [0] * len(parts))
+    index = ShardIndex(bags, idf, average)
     done = np.zeros(len(parts), np.int64)  # ids of each part already packed
     size = np.array([len(p) for p in parts])
     free = np.ones(len(parts), bool)
+    indexed = len(parts)        # parts whose documents have postings
     seed, scan = -1, 0
     while True:
         if seed < 0 or not free[seed]:
@@ -175,6 +253,10 @@ def fill_windows(parts: list[np.ndarray], idf: np.ndarray, average: float, windo
             if scan == len(parts):
                 return
             seed = scan
+        left = np.count_nonzero(free)
+        if 5 * left <= 4 * indexed:     # postings of used parts go, a fifth of them at a time
+            index.keep(free)
+            indexed = left
         rank = np.where(free, index.scores(seed), -1.0)
         rank[seed] = np.inf
         out, room, ahead, cut = [], window, 8, -1
@@ -199,7 +281,7 @@ def fill_windows(parts: list[np.ndarray], idf: np.ndarray, average: float, windo
         seed = cut
 
 
-def sequences(parts: list[np.ndarray], idf: np.ndarray, average: float, window: int, bags: list[Bag] | None = None) -> Iterator[list[tuple[int, int, int]]]:
+def sequences(parts: list[np.ndarray], idf: np.ndarray, average: float, window: int, bags: Bags | list[Bag] | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """As ``fill_windows``, the last window cut into lengths that are powers of two."""
     for seq in fill_windows(parts, idf, average, window, bags):
         total = sum(x[2] for x in seq)
@@ -238,14 +320,9 @@ def pack(docs: DataFrame, window: int = 2048, vocabulary: str = VOCABULARY, shar
         forget(vocabulary)
         idf, average = weights.value
         for b in batches:
-            first, second = [], []
-            for bag in _bags(b):
-                terms, w = _bm25(bag, idf, average)
-                top = terms[np.lexsort((terms, -w))[:2]].tolist() + [-1, -1]
-                first.append(top[0])
-                second.append(top[1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, pa.int32()), pa.array(second, pa.int32())],
-                                             names=[*b.schema.names, "term1", "term2"])
+            told = [_telling(docs, idf, average) for docs in _read_bags(b)]
+            both = [np.concatenate([np.zeros(0, np.int32), *(t[i] for t in told)]) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, both)], names=[*b.schema.names, "term1", "term2"])
 
     # written: the ranges are drawn from a sample of the terms alone, so no part is routed twice
     routed = written(tails.mapInArrow(route, "row long, doc_id long, n_tokens long, tail binary, bag binary, term1 int, term2 int"), "routed")
@@ -262,7 +339,7 @@ def pack(docs: DataFrame, window: int = 2048, vocabulary: str = VOCABULARY, shar
         doc, tokens = t.column("doc_id").to_pylist(), t.column("n_tokens").to_pylist()
         sequence = TaskContext.get().partitionId() << 34
         cols: list[list] = [[] for _ in range(7)]
-        for seq in sequences(parts, idf, average, window, list(_bags(t))):
+        for seq in sequences(parts, idf, average, window, _bags(parts, t.column("bag").to_pylist(), tokens)):
             offset = 0
             for p, s, n in seq:
                 values = (doc[p], tokens[p] - len(parts[p]) + s, n, _crc(parts[p][s:s + n]), tokens[p], sequence * 2 + 1, offset)

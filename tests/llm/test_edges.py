@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -463,3 +464,42 @@ def test_terms_of_a_part_are_counted_without_np_unique(monkeypatch):
         assert np.array_equal(got[0], terms) and np.array_equal(got[1], n) and got[2] == len(p) and got[0].dtype == terms.dtype
     none = packing._bag(np.zeros(0, "<u2"), None, 0)
     assert len(none[0]) == len(none[1]) == 0
+
+
+def test_documents_counted_together_are_those_counted_alone(monkeypatch):
+    """A batch is counted, weighed and routed by a few calls over all its documents, with what each gives alone; ties go to the smaller id."""
+    rng = np.random.default_rng(5)
+    whole = [(rng.integers(0, 40, n) % 65_536).astype("<u2") for n in (0, 1, 7, 300, 0, 90, 2, 500)] + [np.array([65_535, 3, 65_535], "<u2")]
+    tails = [w[-50:] for w in whole]
+    bags = [packing._bag_bytes(w) if len(w) > 50 else None for w in whole]
+    alone = [packing._bag(t, b, len(w)) for t, b, w in zip(tails, bags, whole, strict=True)]
+    monkeypatch.setattr(packing, "_counted", None)
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in tails]), pa.array(bags, pa.binary()), pa.array([len(w) for w in whole])],
+                                       names=["tail", "bag", "n_tokens"])
+    idf = np.round(rng.random(1 << 16), 1)      # ties, and terms of no weight
+    for at_once in (1, 1 << 20):
+        got = list(packing._read_bags(batch, at_once))
+        assert len(got) == 1 or at_once == 1
+        told = [packing._telling(g, idf, 100.0) for g in got]
+        docs = [(g.terms[a:b], g.counts[a:b], n) for g in got for a, b, n in zip(g.starts, g.starts[1:], g.lengths, strict=False)]
+        assert len(docs) == len(alone)
+        for (terms, counts, n), (t, c, m), first, second in zip(docs, alone, *(np.concatenate(x) for x in zip(*told, strict=True)), strict=True):
+            assert terms.tolist() == t.tolist() and counts.tolist() == c.tolist() and n == m
+            w = idf[t] * c * (packing.K1 + 1) / (c + packing.K1 * (1 - packing.BM25_B + packing.BM25_B * m / 100.0))
+            order = [int(x) for _, x in sorted((-x, y) for x, y in zip(w, t, strict=True) if x > 0)]
+            assert [first, second] == (order + [-1, -1])[:2]
+
+
+def test_postings_of_used_parts_are_given_up(monkeypatch):
+    """Windows are those of an index that keeps all postings, with far fewer postings read."""
+    rng = np.random.default_rng(9)
+    parts = [(rng.zipf(1.3, rng.integers(1, 90)) % 500).astype("<u2") for _ in range(300)]
+    idf = rng.random(1 << 16)
+    read = []
+    scores = packing.ShardIndex.scores
+    monkeypatch.setattr(packing.ShardIndex, "scores", lambda self, part: (read.append(len(self.owner)), scores(self, part))[1])
+    got = list(packing.sequences(parts, idf, 45.0, 128))
+    dropping, all_postings = sum(read), read[0] * len(read)
+    monkeypatch.setattr(packing.ShardIndex, "keep", lambda self, documents: None)
+    assert got == list(packing.sequences(parts, idf, 45.0, 128))
+    assert dropping < 0.7 * all_postings
