@@ -250,3 +250,30 @@ def test_scores_do_not_depend_on_how_terms_meet(spark, monkeypatch):
         got.append(sorted((r["row"] or 0, r["topic"], round(r["score"], 9)) for r in scores.collect()))
         moved.append(scores._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
     assert got[0] == got[1] and len(got[0]) > 100 and moved[0] < moved[1]
+
+
+def test_terms_of_documents_are_shuffled_by_document_alone(spark):
+    """One count by document and term serves dictionary and bag; no row a term is shuffled by document and term. Keys repeat or are null."""
+    from ledgerlens.operators import vocab as V
+    docs = spark.createDataFrame([("x", ["a", "b", "a"]), ("x", ["a"]), (None, ["b", "c"]), (None, ["c"]), ("y", []), ("z", None)], "k string, tokens array<string>")
+    counts = V.document_terms(docs, "k")
+    assert sorted(((r.k or "", r.term, r.tf) for r in counts.collect())) == [("", "b", 1), ("", "c", 2), ("x", "a", 3), ("x", "b", 1)]
+    assert counts._jdf.queryExecution().sparkPlan().toString().count("REPARTITION_BY_COL") == 1
+    assert "ENSURE_REQUIREMENTS" not in counts._jdf.queryExecution().executedPlan().toString()
+    kw = {"no_below": 1, "no_above": 1.0}
+    vocab = V.dictionary(docs, "k", **kw)
+    assert vocab.collect() == V.dictionary(docs, "k", counts=counts, n_docs=6, **kw).collect()
+    for bag in (V.bag_of_words(docs, vocab, "k"), V.bag_of_words(docs, vocab, "k", counts=counts)):
+        names = {r.term_id: r.term for r in vocab.collect()}
+        assert sorted((r.k or "", names[r.term_id], r.n) for r in bag.collect()) == [("", "b", 1), ("", "c", 2), ("x", "a", 3), ("x", "b", 1)]
+
+
+def test_the_grid_fits_its_own_points_alone(spark, monkeypatch):
+    """lda_grid scores four fits of two and three topics; the model of the other queries isn't fitted for it."""
+    from ledgerlens.plans import q_models
+    fitted, fit = [], q_models.LDA.fit_lda
+    monkeypatch.setattr(q_models.LDA, "fit_lda", lambda vectors, k, **kw: (fitted.append(k), fit(vectors, k=k, **{**kw, "passes": 1}))[1])
+    monkeypatch.setattr(q_models, "_grids", {})
+    monkeypatch.setattr(q_models, "_fits", {})
+    assert q_models.lda_grid(spark, SF001).count() == 4
+    assert sorted(fitted) == [2, 2, 3, 3]
