@@ -148,8 +148,8 @@ def tokenised(docs: DataFrame, window: int = 2048, vocabulary: str = VOCABULARY)
         row, sequence = base, base
         for b in batches:
             cols: list[list] = [[] for _ in schema]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(cache.ids(text) + END, "<u2")
+            for doc, held in zip(b.column(0).to_pylist(), cache.all_ids(b.column(1)), strict=True):
+                ids = np.frombuffer(held + END, "<u2")
                 n_full = len(ids) // window
                 crcs = [_crc(ids[i * window:(i + 1) * window]) for i in range(n_full)]
                 for c, v in zip(cols, (row, doc, len(ids), crcs, sequence * 2, ids[n_full * window:].tobytes(), _bag_bytes(ids) if n_full else None), strict=True):

@@ -211,6 +211,25 @@ def test_pre_tokens_give_the_library_s_ids():
         assert np.frombuffer(cache.ids(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_ids_of_many_texts_are_those_of_each():
+    cache, rnd = tokenizer.Pieces(), random.Random(3)
+    alphabet = "ab'sdmtre ll<|endoftext|> ***!?é Éß ÀÿΣσςİí̀ \u0085\x1c1 2½Ⅷ中文字ا한가\t\n\r\x0bǅ×÷"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 25))) for _ in range(3000)] + ["", " \n", "", "The end"]
+    texts += [f"A{chr(c)}B 1{chr(c)}2" for c in range(0x600)]
+    held = pa.array(texts)
+    assert tokenizer.pre_token_array(held)[0].to_pylist() == [u for t in texts for u in tokenizer.pre_tokens(t)]
+    for cache.AT_ONCE in (1 << 20, 30):
+        assert list(cache.all_ids(held.slice(2))) == [cache.ids(t) for t in texts[2:]]
+    assert list(cache.all_ids(held[:0])) == [] and list(cache.all_ids(pa.array(["", " "]))) == [b"", b""]
+
+
+def test_a_pre_token_of_many_texts_is_looked_up_once(monkeypatch):
+    cache, asked = tokenizer.Pieces(limit=1), []
+    monkeypatch.setattr(cache, "encode", lambda unit, encode=cache.encode: asked.append(unit) or encode(unit))
+    assert list(cache.all_ids(pa.array(["one two", "Two one", "it's one it's"]))) == [cache.ids(t) for t in ("one two", "two one", "it's one it's")]
+    assert sorted(asked[:3]) == ["it's", "one", "two"]
+
+
 def test_a_worker_s_pieces_can_be_given_up():
     one = tokenizer.pieces()
     assert tokenizer.pieces() is one
