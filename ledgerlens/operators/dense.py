@@ -22,6 +22,7 @@ earlier term). Documents without terms, or with a null vector, embed as zeros.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,11 +63,10 @@ def _products(rows: DataFrame, q: np.ndarray) -> np.ndarray:
         seen = np.zeros(len(thin), bool)
         for b in batches:
             for _, ids, x, starts in blocks(b.column("ids"), b.column("counts"), BLOCK):
-                docs = np.add.reduceat(thin[ids] * x[:, None], starts[:-1], axis=0)
-                order = np.argsort(ids, kind="stable")
-                first = np.nonzero(np.diff(ids[order], prepend=-1))[0]
-                doc = np.repeat(np.arange(len(docs)), np.diff(starts))[order]
-                total[ids[order][first]] += np.add.reduceat(docs[doc] * x[order][:, None], first, axis=0)
+                # one document's rows of the thin matrix stay in a core's cache; it has no term twice
+                for a, b in itertools.pairwise(starts.tolist()):
+                    own, times = ids[a:b], x[a:b]
+                    total[own] += np.outer(times, times @ thin[own])
                 seen[ids] = True
         term = np.nonzero(seen)[0]
         lists = pa.ListArray.from_arrays(np.arange(len(term) + 1, dtype=np.int32) * thin.shape[1], pa.array(total[term].ravel()))
@@ -163,6 +163,10 @@ def project(svd: Svd, vectors: DataFrame, features: str = "features", out: str =
 
 def dense_embed(docs: DataFrame, tokens_col: str = "tokens", rank: int = 64, keep_n: int = L.DICT_KEEP_N,
                 out: str = "embedding", **svd_kw) -> DataFrame:
-    """V5: ``docs`` with a unit vector of ``rank`` numbers: unit TF-IDF rows over the pruned dictionary, projected."""
+    """V5: ``docs`` with a unit vector of ``rank`` numbers: unit TF-IDF rows over the pruned dictionary, projected.
+
+    ``docs`` are written once: counting them, the dictionary, the document frequencies and the vectors each read them.
+    """
+    docs = write_once(docs, "dense-docs")
     sparse = write_once(tfidf_embed(docs, tokens_col, keep_n, out="_sparse"), "tfidf")
     return project(truncated_svd(sparse, "_sparse", rank, **svd_kw), sparse, "_sparse", out)

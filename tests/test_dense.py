@@ -6,7 +6,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ledgerlens.operators import clusters, dense, density, neighbours
+from ledgerlens.operators import clusters, dense, density, lda, neighbours
 from ledgerlens.plans import catalog
 from ledgerlens.plans.q_chunks import chunk_corpus_df
 from tests.conftest import SF01
@@ -49,6 +49,30 @@ def test_query_equals_numpy(spark):
     assert abs(e @ e.T - want @ want.T).max() < 1e-6
 
 
+def test_the_texts_are_made_once(spark):
+    """All steps of the embedding read written documents: a column that counts its rows is asked once a row."""
+    made = spark.sparkContext.accumulator(0)
+
+    def tokens(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(i, [f"w{(i + j) % 20}" for j in range(5)]) for i in range(40)], "key long, tokens array<string>")
+    out = dense.dense_embed(docs.mapInArrow(tokens, docs.schema), rank=2)
+    assert out.count() == 40 and made.value == 40
+
+
+def test_products_of_every_block(spark, monkeypatch):
+    """Documents of one entry and of many, in blocks of one document and more."""
+    a = np.where(np.random.default_rng(5).random((60, 30)) < np.linspace(0.02, 1, 60)[:, None], 1.5, 0.0)
+    rows = lda.entries(frame(spark, a.tolist()).repartition(3), "features").where(F.size("ids") > 0)
+    q = np.random.default_rng(6).normal(size=(30, 4))
+    for size in (1, 100, 20_000):
+        monkeypatch.setattr(dense, "BLOCK", size)
+        assert np.allclose(dense._products(rows, q), a.T @ (a @ q), atol=1e-10)
+
+
 def test_edges(spark):
     a = [[1.0, 0, 0, 2], None, [0.0] * 4, [0, 3.0, 0, 0], [0, 3.0, 0, 0], [1.0, 0, 0, 2]]
     df = frame(spark, a)
