@@ -3,12 +3,12 @@
 ``nearest`` is a self-join over several tables of random-projection buckets:
 in each table a row's bucket is the signs of ``bits`` random projections of its
 centred vector, so near rows often share one. Rows meet inside buckets only,
-as blocks: a bucket is cut by a hash of the row into ``BLOCKS`` blocks (fewer if it
-is small, more where a block would be beyond ``MOST`` rows), each pair of blocks of
+as blocks: a bucket is cut by a hash of the row into blocks of a ``SHARE``-th of all
+buckets' rows (of ``BLOCK`` rows at least, at most ``BLOCKS`` of them unless a block would be beyond ``MOST`` rows), each pair of blocks of
 one bucket is one group, its matrix products are made in tiles, and
 only the best ``k`` of every row go on. A hot bucket is therefore many
-tasks, each row is sent ``BLOCKS`` times whatever the size of its bucket up to
-``BLOCKS * MOST`` rows, and no list of all its pairs is ever made. A pair that several
+tasks, a row is sent once for each block of its bucket, which is once where there are
+many buckets of one size and ``BLOCKS`` times where there is one, and no list of all its pairs is ever made. A pair that several
 tables find counts once; the best ``k`` by exact distance stay.
 
 ``bits=0`` puts all rows in one bucket of one table: the same plan is then the
@@ -37,6 +37,8 @@ from ..session import write_once
 #: block at least and at most. Two blocks, and ``TILE`` squared of their product, are what a task holds.
 BLOCKS, BLOCK, MOST = 12, 2048, 65_536
 TILE = 1024
+#: Blocks that all buckets together are cut into, about: many buckets are tasks enough, and every further block of one is a further copy of its rows.
+SHARE = 256
 
 
 def usable(rows: DataFrame, key: str, features: str) -> DataFrame:
@@ -94,9 +96,11 @@ def buckets(vectors: DataFrame, width: int, tables: int, bits: int, seed: int =
 
 def _block_pairs(rows: DataFrame, block: int) -> DataFrame:
     """Rows (key, v, code) grouped by pairs (a, b), a <= b, of blocks of one bucket, with the row's own block."""
-    n = F.count(F.lit(1))
-    blocks = F.greatest(F.least(F.ceil(n / block), F.lit(BLOCKS)), F.ceil(n / max(block, MOST)))
-    sizes = rows.groupBy("code").agg(blocks.cast("int").alias("blocks"))
+    counts = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    # a row a bucket: the tables times 2 ** bits at most
+    size = F.greatest(F.lit(block), F.ceil(F.sum("n").over(Window.partitionBy()) / SHARE))
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / size), F.lit(BLOCKS)), F.ceil(F.col("n") / max(block, MOST)))
+    sizes = counts.select("code", blocks.cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # a row a bucket: the tables times 2 ** bits at most, so the rows themselves don't move for it
     dealt = rows.join(F.broadcast(sizes), "code").withColumn("own", own)

@@ -102,6 +102,15 @@ def test_rows_are_sent_out_in_proportion(spark):
     assert sent(3000, 10) == 3000 * neighbours.BLOCKS and sent(30000, 10) == 30000 * neighbours.BLOCKS
 
 
+def test_rows_of_many_buckets_are_sent_out_once_each(spark):
+    """Many buckets are tasks enough: a bucket is cut only where it is large beside all of them."""
+    df = spark.range(32000).selectExpr("id AS key", "array(1.0D) AS v", "id % 320 AS code")
+    assert sum(r["count"] for r in neighbours._block_pairs(df, 10).count().collect()) == 32000
+    hot = df.selectExpr("key", "v", "if(key % 2 = 0, 0L, code) AS code")
+    groups = neighbours._block_pairs(hot, 10).count().where("code = 0").collect()
+    assert len(groups) == 78 and max(r["count"] for r in groups) < 4000
+
+
 def test_tiles_find_the_nearest(monkeypatch):
     """Ties, copies and a row among its own neighbours, over tiles that cut them anywhere."""
     rng = np.random.default_rng(4)
