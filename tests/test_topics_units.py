@@ -252,6 +252,22 @@ def test_scores_do_not_depend_on_how_terms_meet(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0]) > 100 and moved[0] < moved[1]
 
 
+def test_many_weights_go_to_the_documents_in_parts(spark, monkeypatch):
+    """No term of a document is shuffled, and the parts of the terms make the sums that all of them make."""
+    from ledgerlens.operators import clusters as CL
+    rows = [(i % 40 or None, [f"w{j % 13}" for j in range(i, i + 9)] * (1 + i % 2), i % 4 - 1) for i in range(60)] + [(77, [], 0), (78, None, 1)]
+    docs = spark.createDataFrame(rows, "row long, tokens array<string>, cluster int")
+    v = CL.topic_vectors(docs, "cluster")
+    want = sorted((r["row"] or 0, r["topic"], round(r["score"], 9)) for r in CL.topic_scores(docs, v, "row").collect())
+    written, write = [], CL.write_once
+    monkeypatch.setattr(CL, "write_once", lambda df, name: (written.append((name, df.columns)), write(df, name))[1])
+    monkeypatch.setattr(CL, "MOST_WEIGHTS", 5)
+    got = CL.topic_scores(docs, v, "row")
+    assert sorted((r["row"] or 0, r["topic"], round(r["score"], 9)) for r in got.collect()) == want and len(want) > 100
+    assert {n for n, _ in written} == {"term-topics", "topic-sums"} and len(written) > 3
+    assert all(c == ["row", "topic", "score"] for n, c in written if n == "topic-sums")
+
+
 def test_terms_of_documents_are_shuffled_by_document_alone(spark):
     """One count by document and term serves dictionary and bag; no row a term is shuffled by document and term. Keys repeat or are null."""
     from ledgerlens.operators import vocab as V
